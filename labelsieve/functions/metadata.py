@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelsieve.schema import ANALYSIS_METADATA_KEYS, ANALYSIS_METADATA_PREFIX
 
@@ -18,7 +19,7 @@ def _own_fields(fields: dict) -> dict:
     }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity_metadata(text: pd.Series) -> pd.Series:
     """Canonical JSON without analysis results, at any depth; NULL where the text is not JSON."""
 

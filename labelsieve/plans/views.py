@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def epoch_day(column: str):
+    """Days since 1970-01-01, whatever the session time zone."""
+    return F.datediff(F.col(column), F.lit("1970-01-01").cast("date")).cast("long")
+
+
 def embedding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled item per vector."""
     name = F.concat(F.lit("class_"), F.col("label").cast("string"))
@@ -52,7 +57,7 @@ def queue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = F.col("o_orderstatus")
     other = F.when(original == "F", "O").when(original == "O", "P").otherwise("F")
     analysed = F.month("o_orderdate") != 2
-    day = F.floor(F.unix_timestamp("o_orderdate") / DAY)
+    day = epoch_day("o_orderdate")
     corrected = F.when(F.col("o_orderpriority") == "2-HIGH", other).otherwise(original)
     return orders.select(
         F.col("o_orderkey").alias("ordinal"),
@@ -114,7 +119,7 @@ def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload jobs made of orders."""
-    created = F.unix_timestamp("o_orderdate").cast("double")
+    created = (epoch_day("o_orderdate") * DAY).cast("double")
     state = (
         F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"), "uploading")
         .when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "2-HIGH"), "running")
@@ -126,7 +131,7 @@ def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_custkey").cast("string").alias("owner"),
-        F.concat(F.lit("upload_"), (F.col("o_custkey") % 100).cast("string"), F.lit(".visionproj")).alias("filename"),
+        F.concat(F.lit("upload_"), (F.col("o_custkey") % 100).cast("string"), F.lit(".zip")).alias("filename"),
         F.floor("o_totalprice").alias("total_size"),
         state.alias("state"),
         created.alias("created_at"),
@@ -179,3 +184,22 @@ def lineitem_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("height"),
         "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag",
     )
+
+
+def analysis_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result batch for ``queue_items`` with natural faults: gaps, repeats, strangers, values out of range."""
+    price = F.col("o_totalprice")
+    original = F.col("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").filter(F.month("o_orderdate") != 2).select(
+        F.when(price < 2000, F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))
+        .otherwise(F.col("o_orderkey").cast("string")).alias("id"),
+        (price / 1000.0).alias("x"),
+        epoch_day("o_orderdate").cast("double").alias("y"),
+        (price / 4900.0).alias("suspicion_score"),
+        F.when(price.between(100000, 101000), F.lit("Z")).otherwise(original).alias("suggested_label"),
+        (1.0 - price / 490000.0).alias("label_confidence"),
+        (price / 500000.0).alias("neighbor_support"),
+        F.when(price > 480000, F.lit("no digest")).when(price > 10000, F.sha2(F.col("o_orderkey").cast("string"), 256))
+        .alias("preview_sha256"),
+    )
+    return rows.unionByName(rows.filter(F.col("suspicion_score") > 99.0))
