@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from labelsieve.plans import scoring_queries  # noqa: F401
+from labelsieve.plans import quality_queries, scoring_queries  # noqa: F401
 from labelsieve.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -81,7 +81,7 @@ def knn_cosine_approximate(spark, d):
     """Recall of the nearest-cell search against the exact one."""
     encoded, _ = _encoded(spark, d)
     exact = neighbors.neighbor_edges(neighbors.neighbor_lists(encoded, "id", "vec", "code"))
-    quick = neighbors.neighbor_edges(neighbors.neighbor_lists(encoded, "id", "vec", "code", probes=4, block_bytes=1 << 16))
+    quick = neighbors.neighbor_edges(neighbors.neighbor_lists(encoded, "id", "vec", "code", probes=4, block_bytes=1 << 14))
     return neighbors.recall(exact, quick).withColumn("recall", r6("recall"))
 
 
