@@ -81,6 +81,10 @@ def queue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_review_log(table(spark, sf_dir, "events"))
+
+
+def as_review_log(events: DataFrame) -> DataFrame:
     """Review commands made of events: one item per user, one update per event."""
     status = (
         F.when(F.col("event_type") == "view", "pending")
@@ -89,7 +93,7 @@ def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "signup", "skipped")
         .otherwise("uncertain")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").cast("string").alias("item_id"),
         F.concat(F.lit("class_"), (F.floor("value") % 4).cast("string")).alias("label"),
@@ -98,6 +102,10 @@ def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_session_commands(table(spark, sf_dir, "events"))
+
+
+def as_session_commands(events: DataFrame) -> DataFrame:
     """Undo/redo commands made of events: one session per user, items by value."""
     op = (
         F.when(F.col("event_type") == "view", "undo")
@@ -106,7 +114,7 @@ def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     status = F.when(F.col("event_type") == "click", "correct").when(F.col("event_type") == "purchase", "modified")
     value = F.floor("value")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").cast("string").alias("session_id"),
         op.alias("op"),
