@@ -22,6 +22,16 @@ def violation(df: DataFrame, rule: str, item: Column, detail: Column) -> DataFra
     )
 
 
+def row_violations(df: DataFrame, *rules: tuple[str, Column, Column, Column]) -> DataFrame:
+    """Several rules (name, condition, item, detail) that look at single rows, checked in one scan."""
+    found = F.array(*[
+        F.when(condition, F.struct(
+            F.lit(rule).alias("rule"), item.cast("string").alias("item"), detail.cast("string").alias("detail")))
+        for rule, condition, item, detail in rules
+    ])
+    return df.select(F.inline(F.array_compact(found)))
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -50,10 +60,11 @@ def class_index_bounds(labels: DataFrame, index_text: str, class_count: Column |
     count = class_count if isinstance(class_count, Column) else F.lit(class_count)
     digits = F.coalesce(text.rlike(r"^[0-9]+$"), F.lit(False))
     in_range = F.coalesce(F.expr(f"try_cast(`{index_text}` AS decimal(38,0))") < count, F.lit(False))
-    return union_all([
-        violation(labels.filter(~digits), "class_index_format", item, text),
-        violation(labels.filter(digits & ~in_range), "class_index_range", item, text),
-    ])
+    return row_violations(
+        labels,
+        ("class_index_format", ~digits, item, text),
+        ("class_index_range", digits & ~in_range, item, text),
+    )
 
 
 def identity_conflicts(declarations: DataFrame) -> DataFrame:
@@ -72,15 +83,14 @@ def identity_conflicts(declarations: DataFrame) -> DataFrame:
 
 
 def feature_violations(df: DataFrame, item: Column, features: str, width: Column | int) -> DataFrame:
-    """Non-finite values and rows of another width. One scan: each row lists its broken rules."""
+    """Non-finite values and rows of another width."""
     vector = F.col(features)
     expected = width if isinstance(width, Column) else F.lit(width)
-    broken = F.array_compact(F.array(
-        F.when(has_non_finite(vector), F.lit("non_finite_feature")),
-        F.when(vector.isNull() | (F.size(vector) != expected), F.lit("ragged_feature")),
-    ))
-    found = df.select(item.cast("string").alias("item"), F.size(vector).alias("detail"), F.explode(broken).alias("rule"))
-    return found.select("rule", "item", F.col("detail").cast("string").alias("detail"))
+    return row_violations(
+        df,
+        ("non_finite_feature", has_non_finite(vector), item, F.size(vector)),
+        ("ragged_feature", vector.isNull() | (F.size(vector) != expected), item, F.size(vector)),
+    )
 
 
 def label_encoding_violations(features: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -108,22 +118,21 @@ def analysis_batch_violations(
     )
     shape = F.when(F.col("_n").isNull(), "missing_update").when(
         F.col("_expected").isNull(), "unknown_item").when(F.col("_n") > 1, "repeated_update")
-    rules = [
-        F.when(_outside("x", -float("inf"), float("inf")), F.lit("bad_x")),
-        F.when(_outside("y", -float("inf"), float("inf")), F.lit("bad_y")),
-        F.when(_outside("suspicion_score", 0, 100), F.lit("bad_score")),
-        F.when(_outside("label_confidence", 0, 1), F.lit("bad_confidence")),
-        F.when(_outside("neighbor_support", 0, 1), F.lit("bad_support")),
-    ]
+    broken = {
+        "bad_x": _outside("x", -float("inf"), float("inf")),
+        "bad_y": _outside("y", -float("inf"), float("inf")),
+        "bad_score": _outside("suspicion_score", 0, 100),
+        "bad_confidence": _outside("label_confidence", 0, 1),
+        "bad_support": _outside("neighbor_support", 0, 1),
+    }
     if "preview_sha256" in batch.columns:
         digest = F.col("preview_sha256")
-        rules.append(F.when(digest.isNotNull() & ~digest.rlike("^[0-9a-f]{64}$"), F.lit("bad_digest")))
+        broken["bad_digest"] = digest.isNotNull() & ~digest.rlike("^[0-9a-f]{64}$")
         if digest_required:
-            rules.append(F.when(digest.isNull(), F.lit("absent_digest")))
-    values = batch.select(F.explode(F.array_compact(F.array(*rules))).alias("rule"), F.col("id").alias("item"))
+            broken["absent_digest"] = digest.isNull()
     return union_all([
         violation(tagged.filter(shape.isNotNull()), "coverage", F.col("id"), shape),
-        values.select("rule", "item", F.lit("").alias("detail")),
+        row_violations(batch, *[(rule, condition, F.col("id"), F.lit("")) for rule, condition in broken.items()]),
         missing_reference(batch, "suggested_label", classes, "class_name", "unknown_suggestion", F.col("id")),
     ])
 
@@ -149,14 +158,14 @@ def path_violations(df: DataFrame, path: str, original: str, label: str) -> Data
     def bad_name(name: str) -> Column:
         return ~F.coalesce(F.col(name).rlike(r"^[^/\\]+$") & ~F.col(name).isin(".", ".."), F.lit(False))
 
-    rules = F.array_compact(F.array(
-        F.when(unsafe, F.lit("unsafe_path")),
-        F.when(bad_name(original), F.lit("unsafe_original_class")),
-        F.when(bad_name(label), F.lit("unsafe_class")),
-        F.when(~unsafe & (F.element_at(parts, 1) != F.col(original)), F.lit("path_class_mismatch")),
-        F.when(~unsafe & (F.size(parts) < 2), F.lit("no_file_name")),
-    ))
-    return df.select(F.explode(rules).alias("rule"), F.col(path).alias("item"), F.col(label).alias("detail"))
+    broken = {
+        "unsafe_path": unsafe,
+        "unsafe_original_class": bad_name(original),
+        "unsafe_class": bad_name(label),
+        "path_class_mismatch": ~unsafe & (F.element_at(parts, 1) != F.col(original)),
+        "no_file_name": ~unsafe & (F.size(parts) < 2),
+    }
+    return row_violations(df, *[(rule, condition, F.col(path), F.col(label)) for rule, condition in broken.items()])
 
 
 def scale_report(df: DataFrame, class_column: str, width: int = FEATURE_WIDTH) -> DataFrame:

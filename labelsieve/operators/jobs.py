@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.operators.checks import union_all, violation
+from labelsieve.operators.checks import row_violations, union_all, violation
 from labelsieve.schema import ACTIVE_STATES, BUSY_STATES, RECENT_LIMIT, RETENTION_SECONDS
 
 
@@ -89,7 +89,10 @@ def chunk_violations(jobs: DataFrame, chunks: DataFrame, chunk_size: int) -> Dat
     repeated = chunks.groupBy("job_id", "chunk_index").agg(F.count("*").alias("_n")).filter("_n > 1")
     return union_all([
         violation(jobs.filter(F.col("chunk_count") != expected), "chunk_count", F.col("id"), expected),
-        violation(placed.filter(out_of_range), "chunk_out_of_range", F.col("job_id"), index),
-        violation(placed.filter(~out_of_range & (F.col("chunk_size") != fitting)), "chunk_size", F.col("job_id"), index),
+        row_violations(
+            placed,
+            ("chunk_out_of_range", out_of_range, F.col("job_id"), index),
+            ("chunk_size", ~out_of_range & (F.col("chunk_size") != fitting), F.col("job_id"), index),
+        ),
         violation(repeated, "chunk_repeated", F.col("job_id"), F.col("chunk_index")),
     ])

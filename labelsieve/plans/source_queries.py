@@ -85,7 +85,7 @@ def strict_json_gate(spark, d):
     kind, props = F.col("event_type"), F.col("props")
     text = (
         F.when(kind == "click", F.regexp_replace(props, "[0-9]+", "NaN"))
-        .when(kind == "purchase", F.regexp_replace(props, "([0-9]+)", '{"a": "1e5", "b": [-$1e999]}'))
+        .when(kind == "purchase", F.regexp_replace(props, "([0-9]+)", '{"a": "1e5", "b": [-1$1e999]}'))
         .when(kind == "signup", F.regexp_replace(props, r"\{(.*)\}", r"{$1, $1}"))
         .when(kind == "error", F.regexp_replace(props, r"\}$", ""))
         .otherwise(F.regexp_replace(props, "([0-9]+)", '"NaN 1e999 \\\\"$1\\\\""'))
@@ -212,12 +212,11 @@ def json_project_classes(spark, d):
 
 @query("""
 , it AS (
-  SELECT source_file, 0 AS ordinal, CASE status WHEN 'O' THEN 'F' ELSE status END AS label FROM pk
-  UNION ALL SELECT source_file, 1, CASE WHEN flag = 'R' THEN 'OCR文本' ELSE 'N' END FROM pk
-  UNION ALL SELECT source_file, 2, 'F' FROM pk WHERE flag = 'N'
+  SELECT source_file, 0 AS ordinal, CASE status WHEN 'O' THEN 'F' ELSE status END AS label, CASE status WHEN 'O' THEN '1' END AS class_id FROM pk
+  UNION ALL SELECT source_file, 1, CASE WHEN flag = 'R' THEN 'OCR文本' ELSE 'N' END, NULL FROM pk
+  UNION ALL SELECT source_file, 2, 'F', '1' FROM pk WHERE flag = 'N'
 )
-SELECT source_file, CAST(ordinal AS BIGINT) AS ordinal, label, CASE WHEN ordinal <> 1 AND label = 'F' THEN '1' END AS class_id
-FROM it
+SELECT source_file, CAST(ordinal AS BIGINT) AS ordinal, label, class_id FROM it
 """, (_PROJECT_KEYS,))
 def json_writeback(spark, d):
     """Relabel, write the project text back, read it again: class name, id and colour moved together."""
@@ -229,13 +228,8 @@ def json_writeback(spark, d):
         "source_file", "file_index", "label_no", F.col("label").alias("original_label"),
         F.when((F.col("label") == "O") | whole_image, "F").otherwise(F.col("label")).alias("label"))
     again, _ = json_project.parse_projects(export.json_writeback(texts, items))
-    result = json_project.flatten_projects(again)
-    written = again.select("source_file", F.get_json_object(F.to_json(F.col("project")), "$.projectFiles").alias("_files"))
-    file_id = F.get_json_object("_files", "$[1].classId")
-    slot_id = F.get_json_object("_files", "$[0].labelDataList[1].classId")
-    return result.join(written, "source_file").select(
-        "source_file", F.col("ordinal").cast("long").alias("ordinal"), "label",
-        F.when(F.col("ordinal") == 0, slot_id).when(F.col("ordinal") == 2, file_id).alias("class_id"))
+    return json_project.flatten_projects(again).select(
+        "source_file", F.col("ordinal").cast("long").alias("ordinal"), "label", "class_id")
 
 
 # ---------------------------------------------------------------- XML projects
@@ -357,7 +351,7 @@ def archive_rules(spark, d):
 
 @query("""
 SELECT doc_id || '/images/' || doc_id || '.txt' AS path, CASE WHEN lang = 'de' THEN 'size' ELSE 'content' END AS problem
-FROM documents WHERE lang IN ('de', 'es') AND length(text) > 0
+FROM documents WHERE lang = 'de' OR (lang = 'es' AND regexp_matches(text, '[a-z]'))
 """)
 def manifest_diff(spark, d):
     """Archives before and after an unwanted change of their images; the manifest itself may differ."""

@@ -8,13 +8,14 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.operators.checks import union_all, violation
 from labelsieve.schema import MAX_MANIFEST_BYTES, MAX_TOTAL_MANIFEST_BYTES
 from labelsieve.sources import json_project
 from labelsieve.sources.guards import json_problem
+from labelsieve.session import materialize
 
 ENTRIES = (
     "source_file string, position int, entry string, is_dir boolean, size bigint, sha256 string, "
@@ -43,7 +44,8 @@ def _entry_rows(source: str, content: bytes) -> Iterator[dict]:
 def list_entries(archives: DataFrame) -> DataFrame:
     """Entries of archives (source_file, content). Archives are read side by side, each by one task.
 
-    A file that is no archive gives one row without an entry name.
+    The listing is written out, because the checks look at it several times and must not unpack again. A file that is
+    no archive gives one row without an entry name.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,7 +58,7 @@ def list_entries(archives: DataFrame) -> DataFrame:
                     rows = [dict.fromkeys(columns) | {"source_file": source}]
                 yield pd.DataFrame(rows, columns=columns)
 
-    return archives.select("source_file", "content").mapInPandas(read, ENTRIES)
+    return materialize(archives.select("source_file", "content").mapInPandas(read, ENTRIES))
 
 
 def archive_violations(entries: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def archive_violations(entries: DataFrame) -> DataFrame:
     ])
 
 
-def is_manifest():
+def is_manifest() -> Column:
     root = F.try_parse_json("text")
     files = F.try_variant_get(root, "$.project.projectFiles", "variant")
     return F.coalesce(F.col("text").isNotNull() & json_problem(F.col("text")).isNull() & files.isNotNull(), F.lit(False))

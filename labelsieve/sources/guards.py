@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelsieve.functions.control import with_column_once
 from labelsieve.schema import MAX_PROJECT_BYTES
 
 _STRING_LITERAL = r'"(?:\\.|[^"\\])*"'
@@ -25,7 +26,7 @@ def size_problem(length: Column, limit: int | None) -> Column:
 
 def split_quarantine(df: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, (source_file, reason) of the others)."""
-    judged = df.withColumn("_problem", problem)
+    judged = with_column_once(df, "_problem", problem)
     return (
         judged.filter(F.col("_problem").isNull()).drop("_problem"),
         judged.filter(F.col("_problem").isNotNull()).select("source_file", F.col("_problem").alias("reason")),

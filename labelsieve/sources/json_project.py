@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelsieve.functions.control import bind, with_column_once
 from labelsieve.functions.geometry import box_of_extent, box_of_points, contour_polygons
 from labelsieve.functions.vectors import is_finite_number
-from labelsieve.operators.checks import union_all, violation
+from labelsieve.operators.checks import row_violations
 from labelsieve.schema import EMPTY_PROJECT_CLASS, IMAGE_LEVEL_TYPES, OCR_FALLBACK_CLASS
 from labelsieve.sources.common import canonical_items, read_texts
 from labelsieve.sources.guards import json_problem
@@ -34,45 +35,47 @@ def _not(kind: str, value: Column) -> Column:
     return F.coalesce(~F.schema_of_variant(value).startswith(kind) & ~F.is_variant_null(value), F.lit(False))
 
 
-def structure_problem(text: Column) -> Column:
-    """NULL for a project with arrays and objects where they belong; null label slots are allowed."""
-    root = F.try_parse_json(text)
+def _is(kind: str, value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _structure_of(root: Column) -> Column:
     project = F.try_variant_get(root, "$.project", "variant")
     infos = F.try_variant_get(root, "$.project.classInfos", "variant")
     files = F.try_variant_get(root, "$.project.projectFiles", "variant")
-    info_list = F.try_variant_get(root, "$.project.classInfos", "array<variant>")
-    file_list = F.try_variant_get(root, "$.project.projectFiles", "array<variant>")
+    empty = F.array().cast("array<variant>")
 
-    def is_object(value: Column) -> Column:
-        return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    def entries(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(root, path, "array<variant>"), empty)
 
     def bad_labels(file: Column) -> Column:
-        labels = F.try_variant_get(file, "$.labelDataList", "variant")
-        slots = F.try_variant_get(file, "$.labelDataList", "array<variant>")
-        return _not("ARRAY", labels) | F.exists(
-            F.coalesce(slots, F.array().cast("array<variant>")), lambda slot: slot.isNotNull() & _not("OBJECT", slot)
-        )
+        slots = F.coalesce(F.try_variant_get(file, "$.labelDataList", "array<variant>"), empty)
+        return _not("ARRAY", F.try_variant_get(file, "$.labelDataList", "variant")) | F.exists(
+            slots, lambda slot: slot.isNotNull() & _not("OBJECT", slot))
 
-    empty = F.array().cast("array<variant>")
     return (
-        F.when(project.isNull() | ~is_object(project) | files.isNull(), "not_a_project")
+        F.when(~_is("OBJECT", project) | files.isNull(), "not_a_project")
         .when(_not("ARRAY", infos), "class_infos_not_array")
-        .when(F.exists(F.coalesce(info_list, empty), lambda info: ~is_object(info)), "class_info_not_object")
-        .when(~F.coalesce(F.schema_of_variant(files).startswith("ARRAY"), F.lit(False)), "files_not_array")
-        .when(F.exists(F.coalesce(file_list, empty), lambda file: ~is_object(file)), "file_not_object")
-        .when(F.exists(F.coalesce(file_list, empty), bad_labels), "labels_not_objects")
+        .when(F.exists(entries("$.project.classInfos"), lambda info: ~_is("OBJECT", info)), "class_info_not_object")
+        .when(~_is("ARRAY", files), "files_not_array")
+        .when(bind(entries("$.project.projectFiles"), lambda list_: F.exists(list_, lambda file: ~_is("OBJECT", file))), "file_not_object")
+        .when(F.exists(entries("$.project.projectFiles"), bad_labels), "labels_not_objects")
     )
 
 
+def structure_problem(text: Column) -> Column:
+    """NULL for a project with arrays and objects where they belong; null label slots are allowed."""
+    return bind(F.try_parse_json(text), _structure_of)
+
+
 def parse_projects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((source_file, project), rejected (source_file, reason)) of texts (source_file, text)."""
     problem = F.coalesce(json_problem(F.col("text")), structure_problem(F.col("text")))
-    judged = texts.withColumn("reason", problem)
+    judged = with_column_once(texts, "reason", problem)
     rejected = judged.filter(F.col("reason").isNotNull()).select("source_file", "reason")
-    parsed = judged.filter(F.col("reason").isNull()).select(
-        "source_file", F.from_json("text", PROJECT)["project"].alias("project")
-    )
-    return parsed, rejected
+    good = judged.filter(F.col("reason").isNull())
+    parsed = with_column_once(good, "project", F.from_json("text", PROJECT)["project"])
+    return parsed.select("source_file", "project"), rejected
 
 
 def _names(nodes: Column) -> Column:
@@ -88,69 +91,72 @@ def _valid_labels(file: Column) -> Column:
     return F.filter(slots, lambda entry: entry["label"].isNotNull())
 
 
-def flatten_projects(parsed: DataFrame) -> DataFrame:
-    """One row per item: (source_file, project_type, ordinal, file_index, label_no, relative_path, label, declared, ...)."""
-    project = F.col("project")
-    kind = F.lower(F.coalesce(F.nullif(project["projectType"], F.lit("")), F.lit("unknown")))
-    files = project["projectFiles"]
-
-    def items_of(file: Column, index: Column) -> Column:
-        labels = _valid_labels(file)
-        path = F.coalesce(F.nullif(file["filePath"], F.lit("")), F.concat(F.lit("file_"), index.cast("string")))
-
-        def item(slot: Column, name: Column, label: Column | None) -> Column:
-            fallback = F.when(kind == "ocr", F.lit(OCR_FALLBACK_CLASS))
-            fields = [
-                index.alias("file_index"), slot.cast("int").alias("label_no"), path.alias("relative_path"),
-                F.coalesce(F.nullif(name, F.lit("")), fallback).alias("label"),
-                (F.lit(None).cast("string") if label is None else F.try_variant_get(label["labelId"], "$", "string")).alias("label_id"),
-            ]
-            for field in (*COORDINATES, "labelContour", "labelText"):
-                value = F.lit(None).cast("string") if label is None else label[field]
-                fields.append(value.alias(field))
-            return F.struct(*fields)
-
-        objects = F.transform(labels, lambda entry: item(entry["slot"], entry["label"]["className"], entry["label"]))
-        whole_image = F.array(item(F.lit(0), file["className"], None))
+def _declared(project: Column) -> Column:
+    infos = F.coalesce(project["classInfos"], F.array().cast(f"array<struct<{_CLASS}>>"))
+    return F.array_distinct(_names(infos))
+
+
+def _known_first(project: Column) -> Column:
+    """Declared classes; for a project without any, the names on files and labels as they appear."""
+    appearing = F.flatten(F.transform(project["projectFiles"], lambda file: F.concat(
+        _names(F.array(file)), _names(F.transform(_valid_labels(file), lambda entry: entry["label"])))))
+    return F.when(F.size("_declared") > 0, F.col("_declared")).otherwise(F.array_distinct(appearing))
+
+
+def _class_id(node: Column) -> Column:
+    """The id as JSON text, so that the number 1 and the text "1" stay different."""
+    identity = node["classId"]
+    return F.when(identity.isNotNull() & ~F.is_variant_null(identity), F.to_json(identity))
+
+
+def _items_of(kind: Column, file: Column, index: Column) -> Column:
+    path = F.coalesce(F.nullif(file["filePath"], F.lit("")), F.concat(F.lit("file_"), index.cast("string")))
+
+    def item(slot: Column, node: Column, label: Column | None) -> Column:
+        fallback = F.when(kind == "ocr", F.lit(OCR_FALLBACK_CLASS))
+        nothing = F.lit(None).cast("string")
+        fields = [
+            index.alias("file_index"), slot.cast("int").alias("label_no"), path.alias("relative_path"),
+            F.coalesce(F.nullif(node["className"], F.lit("")), fallback).alias("label"), _class_id(node).alias("class_id"),
+            (nothing if label is None else F.try_variant_get(label["labelId"], "$", "string")).alias("label_id"),
+        ]
+        names = (*COORDINATES, "labelContour", "labelText")
+        return F.struct(*fields, *[(nothing if label is None else label[name]).alias(name) for name in names])
+
+    def pick(labels: Column) -> Column:
+        objects = F.transform(labels, lambda entry: item(entry["slot"], entry["label"], entry["label"]))
+        whole_image = F.array(item(F.lit(0), file, None))
         is_image_level = (F.size(labels) == 0) & kind.isin(*IMAGE_LEVEL_TYPES) & F.coalesce(file["className"] != "", F.lit(False))
         return F.when(is_image_level, whole_image).otherwise(objects)
 
-    no_names = F.array().cast("array<string>")
-    declared = F.array_distinct(_names(F.coalesce(project["classInfos"], F.array().cast(f"array<struct<{_CLASS}>>"))))
-    appearing = F.array_distinct(F.flatten(F.transform(files, lambda file: F.concat(
-        _names(F.array(file)), _names(F.transform(_valid_labels(file), lambda entry: entry["label"]))))))
-    rows = parsed.select(
-        "source_file", kind.alias("project_type"),
-        F.flatten(F.transform(files, items_of)).alias("_items"),
-        F.coalesce(declared, no_names).alias("declared"), appearing.alias("_appearing"),
-    )
-    first = F.when(F.size("declared") > 0, F.col("declared")).otherwise(F.col("_appearing"))
+    return bind(_valid_labels(file), pick)
+
+
+def _with_items(parsed: DataFrame) -> DataFrame:
+    """Projects with ``_items``, ``_declared`` and ``_classes`` (the class list in index order)."""
+    project = F.col("project")
+    kind = F.lower(F.coalesce(F.nullif(project["projectType"], F.lit("")), F.lit("unknown")))
+    rows = parsed.withColumn("project_type", kind).withColumn("_declared", F.coalesce(_declared(project), F.array().cast("array<string>")))
+    items = F.flatten(F.transform(project["projectFiles"], lambda file, index: _items_of(F.col("project_type"), file, index)))
+    rows = with_column_once(rows, "_items", items)
     added = F.filter(F.transform("_items", lambda item: item["label"]), lambda name: name.isNotNull())
-    rows = rows.withColumn("_classes", F.array_distinct(F.concat(first, added)))
+    return rows.withColumn("_classes", F.array_distinct(F.concat(_known_first(project), added)))
+
+
+def flatten_projects(parsed: DataFrame) -> DataFrame:
+    """One row per item: (source_file, project_type, ordinal, class_index, declared, file_index, label_no, label, ...)."""
     numbered = F.transform("_items", lambda item: F.struct(
         item.alias("item"), (F.array_position("_classes", item["label"]) - 1).alias("class_index"),
-        ((F.size("declared") == 0) | F.array_contains("declared", item["label"])).alias("declared"),
+        ((F.size("_declared") == 0) | F.array_contains("_declared", item["label"])).alias("declared"),
     ))
-    return rows.select("source_file", "project_type", F.posexplode(numbered).alias("ordinal", "_n")).select(
-        "source_file", "project_type", "ordinal", "_n.class_index", "_n.declared", "_n.item.*"
-    )
+    rows = _with_items(parsed).select("source_file", "project_type", F.posexplode(numbered).alias("ordinal", "_n"))
+    return rows.select("source_file", "project_type", "ordinal", "_n.class_index", "_n.declared", "_n.item.*")
 
 
 def project_classes(parsed: DataFrame) -> DataFrame:
-    """(source_file, class_name, class_index), with a placeholder for a project without any class."""
-    project = F.col("project")
-    declared = F.array_distinct(_names(F.coalesce(project["classInfos"], F.array().cast(f"array<struct<{_CLASS}>>"))))
-    appearing = F.array_distinct(F.flatten(F.transform(project["projectFiles"], lambda file: F.concat(
-        _names(F.array(file)), _names(F.transform(_valid_labels(file), lambda entry: entry["label"]))))))
-    first = F.when(F.size(declared) > 0, declared).otherwise(appearing)
-    items = flatten_projects(parsed).filter(F.col("label").isNotNull() & (F.col("class_index") >= 0)).select(
-        "source_file", F.col("label").alias("class_name"), "class_index").distinct()
-    named = parsed.select("source_file", F.posexplode_outer(first).alias("class_index", "class_name"))
-    listed = named.filter(F.col("class_name").isNotNull()).select("source_file", "class_name", "class_index")
-    known = listed.unionByName(items.select("source_file", "class_name", F.col("class_index").cast("int"))).distinct()
-    lone = parsed.select("source_file").join(known.select("source_file").distinct(), "source_file", "left_anti").select(
-        "source_file", F.lit(EMPTY_PROJECT_CLASS).alias("class_name"), F.lit(0).alias("class_index"))
-    return known.unionByName(lone)
+    """(source_file, class_index, class_name), with a placeholder for a project without any class."""
+    named = F.when(F.size("_classes") > 0, F.col("_classes")).otherwise(F.array(F.lit(EMPTY_PROJECT_CLASS)))
+    return _with_items(parsed).select("source_file", F.posexplode(named).alias("class_index", "class_name"))
 
 
 def class_declarations(parsed: DataFrame) -> DataFrame:
@@ -158,17 +164,15 @@ def class_declarations(parsed: DataFrame) -> DataFrame:
     project = F.col("project")
 
     def node(value: Column) -> Column:
-        return F.struct(value["className"].alias("class_name"), value["classId"].alias("_id"), value["classColor"].alias("class_color"))
+        return F.struct(value["className"].alias("class_name"), _class_id(value).alias("class_id"), value["classColor"].alias("class_color"))
 
     nodes = F.concat(
         F.transform(F.coalesce(project["classInfos"], F.array().cast(f"array<struct<{_CLASS}>>")), node),
         F.flatten(F.transform(project["projectFiles"], lambda file: F.concat(
             F.array(node(file)), F.transform(_valid_labels(file), lambda entry: node(entry["label"]))))),
     )
-    rows = parsed.select("source_file", F.explode(nodes).alias("_c")).select("source_file", "_c.*")
-    identity = F.when(F.col("_id").isNotNull() & ~F.is_variant_null("_id"), F.to_json("_id"))
-    return rows.filter(F.coalesce(F.col("class_name") != "", F.lit(False))).select(
-        "source_file", "class_name", identity.alias("class_id"), "class_color")
+    named = F.filter(nodes, lambda entry: F.coalesce(entry["class_name"] != "", F.lit(False)))
+    return parsed.select("source_file", F.inline(named))
 
 
 def item_violations(flat: DataFrame) -> DataFrame:
@@ -181,11 +185,12 @@ def item_violations(flat: DataFrame) -> DataFrame:
     boxed = F.lit(True)
     for name in COORDINATES:
         boxed = boxed & F.col(name).isNotNull()
-    return union_all([
-        violation(flat.filter(F.col("label").isNull()), "label_without_class", place, F.col("source_file")),
-        violation(flat.filter(undeclared), "undeclared_class", place, F.col("label")),
-        violation(flat.filter(boxed & ~finite), "bad_coordinates", place, F.col("source_file")),
-    ])
+    return row_violations(
+        flat,
+        ("label_without_class", F.col("label").isNull(), place, F.col("source_file")),
+        ("undeclared_class", undeclared, place, F.col("label")),
+        ("bad_coordinates", boxed & ~finite, place, F.col("source_file")),
+    )
 
 
 def project_items(flat: DataFrame, source_prefix: str = "json-project") -> DataFrame:
