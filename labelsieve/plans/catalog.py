@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from labelsieve.plans import quality_queries, queue_queries, review_queries, scoring_queries, source_queries  # noqa: F401
+from labelsieve.plans import evaluation_queries, quality_queries, queue_queries, review_queries, scoring_queries, source_queries  # noqa: F401
 from labelsieve.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,8 @@ from labelsieve.functions.control import with_column_once
 from labelsieve.schema import MAX_PROJECT_BYTES
 
 _STRING_LITERAL = r'"(?:\\.|[^"\\])*"'
+# beyond the range of a double a number needs a three-digit exponent or hundreds of digits
+_MAY_OVERFLOW = "[0-9.][eE][+]?[0-9]{3}|[0-9]{200}"
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
@@ -16,7 +18,8 @@ def json_problem(text: Column) -> Column:
     """NULL for strict JSON. Otherwise why not: bad syntax, repeated key or NaN; or a number too large for a double."""
     bare = F.regexp_replace(text, _STRING_LITERAL, '""')
     numbers = F.regexp_extract_all(bare, F.lit(_NUMBER), F.lit(0))
-    too_large = F.exists(numbers, lambda n: F.abs(n.cast("double")) == F.lit(float("inf")))
+    suspect = text.rlike(_MAY_OVERFLOW)
+    too_large = suspect & F.exists(numbers, lambda n: F.abs(n.cast("double")) == F.lit(float("inf")))
     return F.when(F.try_parse_json(text).isNull(), F.lit("not_strict_json")).when(too_large, F.lit("number_too_large"))
 
 
