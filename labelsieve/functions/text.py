@@ -23,18 +23,22 @@ def matches_search(path: Column, label: Column, suggestion: Column, needle: str)
     return F.lit(True) if not wanted else F.contains(search_text(path, label, suggestion), F.lit(wanted))
 
 
+def _fnv_step(state: Column, unit: Column) -> Column:
+    return (state.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def fnv1a_32(text: Column) -> Column:
-    """32-bit FNV-1a over the UTF-16 code units of ``text``."""
-    hexed = F.hex(F.encode(text, "UTF-16BE"))
-    starts = F.filter(F.sequence(F.lit(0), F.length(hexed), F.lit(4)), lambda at: at < F.length(hexed))
-    units = F.transform(
-        starts, lambda at: F.conv(F.substring(hexed, at + F.lit(1), F.lit(4)), 16, 10).cast("long")
-    )
-    return F.aggregate(
-        units,
-        F.lit(2166136261).cast("long"),
-        lambda state, unit: (state.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)),
-    )
+    """32-bit FNV-1a over the UTF-16 code units of ``text``; characters beyond 16 bits count as two units."""
+
+    def step(state: Column, char: Column) -> Column:
+        point = F.ascii(char).cast("long")
+        high = F.shiftright(point - 0x10000, 10) + 0xD800
+        low = (point - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        pair = _fnv_step(_fnv_step(state, high), low)
+        return F.when(point < 0x10000, _fnv_step(state, point)).otherwise(pair)
+
+    return F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), lambda state, char: F.when(
+        char == "", state).otherwise(step(state, char)))
 
 
 def item_hash(item_id: Column, path: Column) -> Column:

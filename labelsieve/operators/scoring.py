@@ -36,35 +36,48 @@ def share_of(shares: Column, code: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(shares, lambda s: s["code"] == code), F.lit(1))["share"], F.lit(0.0))
 
 
-def blend(probability: Column, shares: Column) -> Column:
-    """0.7 x probability + 0.3 x vote per class, in code order."""
-    return F.transform(
-        probability,
-        lambda p, at: p * F.lit(CLASSIFIER_WEIGHT) + share_of(shares, at.cast("long")) * F.lit(NEIGHBOR_WEIGHT),
-    )
+def at(probability: Column, code: Column) -> Column:
+    return F.element_at(probability, (code + 1).cast("int"))
+
+
+def blend_at(probability: Column, shares: Column, code: Column) -> Column:
+    """0.7 x probability + 0.3 x vote of one class."""
+    return at(probability, code) * F.lit(CLASSIFIER_WEIGHT) + share_of(shares, code) * F.lit(NEIGHBOR_WEIGHT)
+
+
+def best_blend(probability: Column, shares: Column) -> Column:
+    """Class with the highest blend, the lowest code on a tie.
+
+    Only classes with votes and the most probable class can win, so the others are never looked at.
+    """
+    def entry(value: Column, code: Column) -> Column:
+        return F.struct(value.alias("value"), (-code).alias("low"))
+
+    voted = F.transform(shares, lambda s: entry(
+        at(probability, s["code"]) * F.lit(CLASSIFIER_WEIGHT) + s["share"] * F.lit(NEIGHBOR_WEIGHT), s["code"]))
+    peak = F.array_max(probability)
+    likeliest = (F.array_position(probability, peak) - 1).cast("long")
+    unvoted = F.array(entry(peak * F.lit(CLASSIFIER_WEIGHT), likeliest))
+    return -F.array_max(F.concat(voted, unvoted))["low"]
 
 
 def score_rows(df: DataFrame) -> DataFrame:
-    """(id, code, probability, neighbors) -> scores; the lowest code wins a tie for the suggestion.
+    """(id, code, probability, neighbors) -> scores, computed inside the row: no shuffle.
 
-    Everything is computed inside the row: no shuffle.
+    Without any neighbour the probabilities stand in for the vote.
     """
-    own = F.col("code")
-    scored = df.withColumn("_shares", vote_shares(F.col("neighbors"))).withColumn(
-        "_blend",
-        F.when(F.size("neighbors") > 0, blend(F.col("probability"), F.col("_shares"))).otherwise(F.col("probability")),
-    )
-    confidence = F.element_at("_blend", (own + 1).cast("int"))
-    support = F.when(F.size("neighbors") > 0, share_of(F.col("_shares"), own)).otherwise(
-        F.element_at("probability", (own + 1).cast("int"))
-    )
-    return scored.select(
+    rows = df.withColumn("_shares", vote_shares(F.col("neighbors")))
+    own, probability, shares = F.col("code"), F.col("probability"), F.col("_shares")
+    lonely = F.size("neighbors") == 0
+    likeliest = (F.array_position(probability, F.array_max(probability)) - 1).cast("long")
+    judged = rows.select(
         "id", "code",
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - confidence) * 100)).alias("score"),
-        (F.array_position("_blend", F.array_max("_blend")) - 1).alias("suggested_code"),
-        confidence.alias("confidence"),
-        support.alias("support"),
+        F.when(lonely, likeliest).otherwise(best_blend(probability, shares)).alias("suggested_code"),
+        F.when(lonely, at(probability, own)).otherwise(blend_at(probability, shares, own)).alias("confidence"),
+        F.when(lonely, at(probability, own)).otherwise(share_of(shares, own)).alias("support"),
     )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.col("confidence")) * 100))
+    return judged.select("id", "code", score.alias("score"), "suggested_code", "confidence", "support")
 
 
 def suspicion_scores(

@@ -196,7 +196,8 @@ FROM documents
 """)
 def embed_documents(spark, d):
     """Batched inference over whole texts with the weight-free stand-in model."""
-    rows = embed_batch(views.table(spark, d, "documents").select("doc_id", "text"), "text", byte_histogram_model)
+    texts = views.spread(views.table(spark, d, "documents").select("doc_id", "text"))
+    rows = embed_batch(texts, "text", byte_histogram_model)
     total = F.aggregate("features", F.lit(0.0), lambda sum_, v: sum_ + v.cast("double"))
     return rows.select("doc_id", total.cast("long").alias("n_bytes"), F.element_at("features", 33).cast("long").alias("spaces"))
 

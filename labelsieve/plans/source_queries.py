@@ -20,6 +20,9 @@ from labelsieve.session import ensure_checkpoint_dir
 from labelsieve.sources import archive_project, folder, guards, json_project, xml_project
 
 
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+
+
 def _work(spark, name: str) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
@@ -112,7 +115,7 @@ def _json_texts(spark, d):
         F.when(flag == "R", F.lit("null")).otherwise(F.lit('"N"')),
     )
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
-    return views.table(spark, d, "lineitem").select(key.alias("source_file"), text.alias("text"))
+    return views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(key.alias("source_file"), text.alias("text"))
 
 
 _PROJECT_KEYS = """
@@ -155,7 +158,7 @@ FROM pk WHERE status || flag <> 'OR'
 @query(_BROKEN, (_PROJECT_KEYS,))
 def json_project_structure(spark, d):
     """Projects broken in five ways are set aside with the reason."""
-    lines = views.table(spark, d, "lineitem").select(
+    lines = views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]).alias("source_file"),
         F.concat("l_linestatus", "l_returnflag").alias("_kind"))
     kind = F.col("_kind")
@@ -246,7 +249,7 @@ def _xml_texts(spark, d):
         F.col("l_returnflag"), F.col("l_partkey"), (F.col("l_linenumber") - 1).cast("int"),
         F.col("l_quantity").cast("decimal(10,2)").cast("string"))
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
-    return views.table(spark, d, "lineitem").select(key.alias("source_file"), text.alias("text"))
+    return views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(key.alias("source_file"), text.alias("text"))
 
 
 _XML_ITEMS = """
@@ -326,7 +329,7 @@ def _zip_document(number: pd.Series, kind: pd.Series, text: pd.Series) -> pd.Ser
 
 
 def _archives(spark, d):
-    return views.table(spark, d, "documents").select(
+    return views.spread(views.table(spark, d, "documents").select("doc_id", "lang", "text")).select(
         F.col("doc_id").cast("string").alias("source_file"), _zip_document("doc_id", "lang", "text").alias("content"))
 
 
@@ -355,7 +358,7 @@ FROM documents WHERE lang = 'de' OR (lang = 'es' AND regexp_matches(text, '[a-z]
 """)
 def manifest_diff(spark, d):
     """Archives before and after an unwanted change of their images; the manifest itself may differ."""
-    documents = views.table(spark, d, "documents")
+    documents = views.spread(views.table(spark, d, "documents").select("doc_id", "lang", "text"))
     changed = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).when(
         F.col("lang") == "es", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza")).otherwise(F.col("text"))
     after = documents.select(F.col("doc_id").cast("string").alias("source_file"), _zip_document("doc_id", "lang", changed).alias("content"))

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than the cluster has cores, dealt out for CPU-bound work.
+
+    A large input has partitions enough and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def epoch_day(column: str):
     """Days since 1970-01-01, whatever the session time zone."""
     return F.datediff(F.col(column), F.lit("1970-01-01").cast("date")).cast("long")

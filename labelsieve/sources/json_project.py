@@ -30,37 +30,36 @@ PROJECT = (
 )
 
 
-def _not(kind: str, value: Column) -> Column:
-    """True when a variant is present and not of the JSON type ``kind``."""
-    return F.coalesce(~F.schema_of_variant(value).startswith(kind) & ~F.is_variant_null(value), F.lit(False))
-
+def _structure_of(root: Column) -> Column:
+    """Types are tested by casts that look at one level only; a failed cast is NULL."""
+    some_object, any_array = "struct<_:string>", "array<variant>"
 
-def _is(kind: str, value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+    def is_object(value: Column, path: str = "$") -> Column:
+        return F.try_variant_get(value, path, some_object).isNotNull()
 
+    def present(value: Column) -> Column:
+        return value.isNotNull() & ~F.is_variant_null(value)
 
-def _structure_of(root: Column) -> Column:
-    project = F.try_variant_get(root, "$.project", "variant")
     infos = F.try_variant_get(root, "$.project.classInfos", "variant")
-    files = F.try_variant_get(root, "$.project.projectFiles", "variant")
-    empty = F.array().cast("array<variant>")
-
-    def entries(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(root, path, "array<variant>"), empty)
-
-    def bad_labels(file: Column) -> Column:
-        slots = F.coalesce(F.try_variant_get(file, "$.labelDataList", "array<variant>"), empty)
-        return _not("ARRAY", F.try_variant_get(file, "$.labelDataList", "variant")) | F.exists(
-            slots, lambda slot: slot.isNotNull() & _not("OBJECT", slot))
-
-    return (
-        F.when(~_is("OBJECT", project) | files.isNull(), "not_a_project")
-        .when(_not("ARRAY", infos), "class_infos_not_array")
-        .when(F.exists(entries("$.project.classInfos"), lambda info: ~_is("OBJECT", info)), "class_info_not_object")
-        .when(~_is("ARRAY", files), "files_not_array")
-        .when(bind(entries("$.project.projectFiles"), lambda list_: F.exists(list_, lambda file: ~_is("OBJECT", file))), "file_not_object")
-        .when(F.exists(entries("$.project.projectFiles"), bad_labels), "labels_not_objects")
-    )
+    info_list = F.try_variant_get(root, "$.project.classInfos", f"array<{some_object}>")
+    has_files = F.try_variant_get(root, "$.project.projectFiles", "variant").isNotNull()
+    file_list = F.try_variant_get(root, "$.project.projectFiles", "array<struct<labelDataList:variant>>")
+
+    def bad_slots(labels: Column) -> Column:
+        slots = F.try_variant_get(labels, "$", any_array)
+        return present(labels) & (slots.isNull() | F.exists(slots, lambda slot: present(slot) & ~is_object(slot)))
+
+    def problem(files: Column) -> Column:
+        return (
+            F.when(~is_object(root, "$.project") | ~has_files, "not_a_project")
+            .when(F.coalesce(present(infos), F.lit(False)) & info_list.isNull(), "class_infos_not_array")
+            .when(F.coalesce(F.exists(info_list, lambda info: info.isNull()), F.lit(False)), "class_info_not_object")
+            .when(files.isNull(), "files_not_array")
+            .when(F.exists(files, lambda file: file.isNull()), "file_not_object")
+            .when(F.exists(files, lambda file: F.coalesce(bad_slots(file["labelDataList"]), F.lit(False))), "labels_not_objects")
+        )
+
+    return bind(file_list, problem)
 
 
 def structure_problem(text: Column) -> Column:
