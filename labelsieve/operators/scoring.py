@@ -10,6 +10,7 @@ from labelsieve.operators.classify import centroid_matrix, out_of_fold_probabili
 from labelsieve.operators.encode import class_codes, class_encode, class_summary
 from labelsieve.operators.neighbors import choose_probes, neighbor_lists
 from labelsieve.schema import APPROXIMATE_ABOVE, CLASSIFIER_WEIGHT, DISTANCE_OFFSET, NEIGHBOR_WEIGHT, NEIGHBORS
+from labelsieve.session import materialize
 
 
 def vote_weight(distance: Column) -> Column:
@@ -86,8 +87,9 @@ def suspicion_scores(
 ) -> DataFrame:
     """The whole scoring of a labelled feature table.
 
-    Returns (id, label, score, suggested_label, confidence, support). ``classifier`` is ``logreg``, ``centroid`` or
-    ``auto``: logistic regression when there are at least two classes with at least two members each.
+    Returns (id, label, score, suggested_label, confidence, support), written out, because a sort or a report would
+    otherwise run the scoring twice. ``classifier`` is ``logreg``, ``centroid`` or ``auto``: logistic regression when
+    there are at least two classes with at least two members each.
     """
     codes = class_codes(df, label)
     summary = class_summary(codes).first()
@@ -109,7 +111,7 @@ def suspicion_scores(
     names = codes.select(F.col("code").alias("_code"), label)
     own = names.select(F.col("_code").alias("code"), F.col(label).alias("label"))
     suggested = names.select(F.col("_code").alias("suggested_code"), F.col(label).alias("suggested_label"))
-    return (
+    return materialize(
         score_rows(rows).join(own, "code").join(suggested, "suggested_code")
         .select("id", "label", "score", "suggested_label", "confidence", "support")
     )

@@ -23,6 +23,15 @@ from labelsieve.sources import archive_project, folder, guards, json_project, xm
 LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
 
 
+def _line_key():
+    parts = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in parts], F.col("l_quantity").cast("long").cast("string"),
+                       "l_returnflag", "l_linestatus")
+
+
+_LINE_KEY = """concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag, l_linestatus)"""
+
+
 def _work(spark, name: str) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
@@ -114,13 +123,12 @@ def _json_texts(spark, d):
         kind, F.col("l_partkey"), status, F.col("l_quantity").cast("decimal(10,2)").cast("string"),
         F.when(flag == "R", F.lit("null")).otherwise(F.lit('"N"')),
     )
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
-    return views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(key.alias("source_file"), text.alias("text"))
+    return views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(_line_key().alias("source_file"), text.alias("text"))
 
 
-_PROJECT_KEYS = """
+_PROJECT_KEYS = f"""
 pk AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS source_file, l_partkey AS part, l_returnflag AS flag,
+  SELECT {_LINE_KEY} AS source_file, l_partkey AS part, l_returnflag AS flag,
          l_linestatus AS status, l_quantity AS q,
          CASE l_returnflag WHEN 'A' THEN 'det' WHEN 'N' THEN 'classification' ELSE 'ocr' END AS kind
   FROM lineitem
@@ -159,7 +167,7 @@ FROM pk WHERE status || flag <> 'OR'
 def json_project_structure(spark, d):
     """Projects broken in five ways are set aside with the reason."""
     lines = views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]).alias("source_file"),
+        _line_key().alias("source_file"),
         F.concat("l_linestatus", "l_returnflag").alias("_kind"))
     kind = F.col("_kind")
     text = (
@@ -204,9 +212,9 @@ def json_class_declarations(spark, d):
 
 
 @query("""
-SELECT source_file, unnest(['F', 'O', 'N']) AS class_name, unnest([0::BIGINT, 1, 2]) AS class_index FROM pk
-UNION ALL SELECT source_file, 'OCR文本', 3 FROM pk WHERE flag = 'R'
-""", (_PROJECT_KEYS.replace("FROM lineitem", "FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, 'x' AS l_linestatus, 0 AS l_quantity FROM lineitem)"),))
+SELECT source_file, unnest(['F', 'O', 'N']) AS class_name, unnest([0::BIGINT, 1, 2]) AS class_index FROM (SELECT DISTINCT source_file FROM pk)
+UNION ALL SELECT DISTINCT source_file, 'OCR文本', 3 FROM pk WHERE flag = 'R'
+""", (_PROJECT_KEYS,))
 def json_project_classes(spark, d):
     """Class table of each project: declared classes, then those that only the items bring in."""
     parsed, _ = json_project.parse_projects(_json_texts(spark, d))
@@ -219,7 +227,7 @@ def json_project_classes(spark, d):
   UNION ALL SELECT source_file, 1, CASE WHEN flag = 'R' THEN 'OCR文本' ELSE 'N' END, NULL FROM pk
   UNION ALL SELECT source_file, 2, 'F', '1' FROM pk WHERE flag = 'N'
 )
-SELECT source_file, CAST(ordinal AS BIGINT) AS ordinal, label, class_id FROM it
+SELECT DISTINCT source_file, CAST(ordinal AS BIGINT) AS ordinal, label, class_id FROM it
 """, (_PROJECT_KEYS,))
 def json_writeback(spark, d):
     """Relabel, write the project text back, read it again: class name, id and colour moved together."""
@@ -248,13 +256,12 @@ def _xml_texts(spark, d):
         "<Image><Path>second.bmp</Path><ClassIndexOfLabel>2</ClassIndexOfLabel></Image><Image><Path>third.bmp</Path></Image></ImageGroup></Project>",
         F.col("l_returnflag"), F.col("l_partkey"), (F.col("l_linenumber") - 1).cast("int"),
         F.col("l_quantity").cast("decimal(10,2)").cast("string"))
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
-    return views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(key.alias("source_file"), text.alias("text"))
+    return views.spread(views.table(spark, d, "lineitem").select(*LINE_COLUMNS)).select(_line_key().alias("source_file"), text.alias("text"))
 
 
-_XML_ITEMS = """
+_XML_ITEMS = f"""
 xk AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS source_file, l_partkey AS part, l_returnflag AS flag,
+  SELECT {_LINE_KEY} AS source_file, l_partkey AS part, l_returnflag AS flag,
          l_linenumber - 1 AS idx, l_quantity AS q FROM lineitem
 ),
 xi AS (
@@ -291,10 +298,10 @@ def xml_project_rules(spark, d):
 @query("""
 SELECT DISTINCT source_file, CAST(ordinal AS BIGINT) AS ordinal, CASE label WHEN 'class_2' THEN '(x)b' ELSE label END AS label
 FROM xi WHERE label IS NOT NULL
-""", (_XML_ITEMS.replace("FROM lineitem", "FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'R' AS l_returnflag, 0 AS l_quantity FROM lineitem)"),))
+""", (_XML_ITEMS,))
 def xml_writeback(spark, d):
     """Relabel, rewrite the XML, read it again."""
-    texts = _xml_texts(spark, d).select("source_file", F.regexp_replace("text", r"\(1\)[A-Z]", "(1)R").alias("text")).dropDuplicates(["source_file"])
+    texts = _xml_texts(spark, d).dropDuplicates(["source_file"])
     parsed, _ = xml_project.parse_projects(texts)
     items = xml_project.flatten_projects(parsed).filter("label IS NOT NULL").select(
         "source_file", "image_no", "label_no", F.col("label").alias("original_label"),

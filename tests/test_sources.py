@@ -254,10 +254,12 @@ def test_clamp(spark, value, want):
 @pytest.mark.parametrize("text,sizes", [
     ("[[[0,0],[1,0],[1,1]],[[2,2],[3,2],[3,3]],[[4,4],[5,4],[5,5]]]", [3, 3, 3]),
     ("[[0,0],[1,0]]", []), ("[[0,0],[1,true],[2,2]]", []), ("not json", None), ("{}", []), ("[[0,0,9],[1,0,9],[1,1,9],[0,1,9]]", [4]),
+    ("[[0,0],[1,0],[1,1],[5]]", []), ("[[[0,0],[1,0],[1,1]],[[1,2],[3,4]],[[0,1],[2,3],[4,5],[6,7]]]", [3, 4]), ("[[0,NaN],[1,0],[1,1]]", None),
+    ("[[1e999,0],[1,0],[1,1]]", []), ('[["0",0],[1,"0"],[1,1]]', [3]), ("[]", []), ("5", []), ("[[[0,0],[1,0],[1,null]]]", []), (None, None),
     ("[" * 20 + "[0,0],[1,0],[1,1]" + "]" * 20, [3]), ("[" * 40 + "[0,0],[1,0],[1,1]" + "]" * 40, []),
 ])
 def test_contours(spark, text, sizes):
-    got = spark.createDataFrame([(text,)], "t string").select(geometry.contour_polygons("t").alias("p")).first().p
+    got = spark.createDataFrame([(text,)], "t string").select(geometry.contour_polygons(F.col("t")).alias("p")).first().p
     assert (None if got is None else [len(p) for p in got]) == sizes
 
 
