@@ -39,7 +39,7 @@ def centroid_matrix(df: DataFrame, code: str, unit: str, classes: int) -> np.nda
     """The centroids as a matrix in code order: a model of classes x width doubles, refused above MODEL_BYTES."""
     width = len(df.select(unit).first()[0])
     if classes * width * 8 > MODEL_BYTES:
-        raise ValueError("too many classes for one centroid model; use centroid_probabilities_long")
+        raise ValueError("the centroid model of this many classes is too large; score groups of classes separately")
     matrix = np.zeros((classes, width))
     for row in centroids(df, code, unit).collect():
         matrix[row[code]] = row["centroid"]

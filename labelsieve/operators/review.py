@@ -195,6 +195,12 @@ def restore_session(
     return apply_state(items, saved)
 
 
+def usable_history(undo: DataFrame, redo: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The saved stacks if both chains fit the restored state, otherwise two empty ones; the state is kept either way."""
+    broken = history_chain_violations(undo, current).unionByName(redo_chain_violations(redo, current))
+    return (undo, redo) if broken.isEmpty() else (undo.limit(0), redo.limit(0))
+
+
 def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int = MAX_HISTORY) -> DataFrame:
     """Final state of a log with undo and redo: (session_id, item_id, label, status) of every touched item.
 

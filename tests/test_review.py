@@ -146,3 +146,18 @@ def test_plot_sample_pins_the_selected_item(spark):
     assert {r.id for r in queue.with_selected(sample, items.filter(F.col("id") == inside)).collect()} == {r.id for r in sample.collect()}
     pinned = {r.id for r in queue.with_selected(sample, items.filter(F.col("id") == outside)).collect()}
     assert outside in pinned and len(pinned) == 10
+
+
+def test_broken_history_is_dropped_and_the_state_kept(spark):
+    ddl = "seq long, item_id string, before_label string, after_label string, before_status string, after_status string"
+    current = spark.createDataFrame([("i", "b", "correct"), ("j", "a", "pending")], "item_id string, label string, status string")
+    undo = [(1, "i", "x", "a", "pending", "pending"), (2, "i", "a", "b", "pending", "correct")]
+    redo = [(1, "j", "b", "c", "pending", "pending"), (2, "j", "a", "b", "pending", "pending")]
+    good = review.usable_history(spark.createDataFrame(undo, ddl), spark.createDataFrame(redo, ddl), current)
+    assert [side.count() for side in good] == [2, 2]
+    for rows in (undo[:1], [undo[0], (2, "i", "z", "b", "pending", "correct")]):
+        lost = review.usable_history(spark.createDataFrame(rows, ddl), spark.createDataFrame(redo, ddl), current)
+        assert [side.count() for side in lost] == [0, 0]
+    swapped = [(3 - r[0], *r[1:]) for r in redo]
+    lost = review.usable_history(spark.createDataFrame(undo, ddl), spark.createDataFrame(swapped, ddl), current)
+    assert [side.count() for side in lost] == [0, 0]
