@@ -18,28 +18,42 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _ItemStates(MutableMapping):
-    """The state store's map of one session, seen as item -> (label, status)."""
+    """The state store's map of one session as item -> (label, status); an item is read and written once per batch."""
 
     def __init__(self, state):
         self._state = state
+        self._seen: dict = {}
+        self._dirty: set = set()
 
     def __getitem__(self, item):
-        if not self._state.containsKey((item,)):
+        if item not in self._seen:
+            stored = self._state.containsKey((item,))
+            self._seen[item] = tuple(self._state.getValue((item,))) if stored else None
+        if self._seen[item] is None:
             raise KeyError(item)
-        return tuple(self._state.getValue((item,)))
+        return self._seen[item]
 
     def __setitem__(self, item, value):
-        self._state.updateValue((item,), tuple(value))
+        self._seen[item] = tuple(value)
+        self._dirty.add(item)
 
     def __delitem__(self, item):
         self._state.removeKey((item,))
+        self._seen[item] = None
+        self._dirty.discard(item)
 
     def __iter__(self):
+        self.flush()
         return (key[0] for key in self._state.keys())
 
     def __len__(self):
         return sum(1 for _ in self)
 
+    def flush(self) -> None:
+        for item in sorted(self._dirty):
+            self._state.updateValue((item,), self._seen[item])
+        self._dirty.clear()
+
 
 class ReviewProcessor(StatefulProcessor):
     """Keeps items and undo/redo stacks per session; emits the new state of every item a command changed."""
@@ -54,13 +68,15 @@ class ReviewProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         undo, redo = map(json.loads, self.stacks.get()) if self.stacks.exists() else ([], [])
         as_commands = lambda stack: [(item, tuple(before), tuple(after)) for item, before, after in stack]
-        log = SessionLog(_ItemStates(self.items), as_commands(undo), as_commands(redo), self.cap)
+        states = _ItemStates(self.items)
+        log = SessionLog(states, as_commands(undo), as_commands(redo), self.cap)
         commands = pd.concat(rows).sort_values("seq", kind="stable")
         changed = []
         for seq, op, item, label, status in zip(*(commands[c] for c in ("seq", "op", "item_id", "label", "status"))):
             touched = log.run(op, _text(item), _text(label), _text(status))
             if touched is not None:
-                changed.append((key[0], int(seq), touched, *log.states[touched]))
+                changed.append((key[0], int(seq), touched, *states[touched]))
+        states.flush()
         self.stacks.update((json.dumps(list(log.undo)), json.dumps(log.redo)))
         yield pd.DataFrame(changed, columns=["session_id", "seq", "item_id", "label", "status"])
 
