@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 from labelsieve.functions.vectors import as_doubles
 from labelsieve.operators.checks import union_all
 from labelsieve.schema import APPROXIMATE_ABOVE, NEIGHBORS
-from labelsieve.session import materialize
+from labelsieve.session import materialize, small_table
 
 DECIMALS = 9  # distances are compared at this resolution, so summation order cannot reorder ties
 BLOCK_BYTES = 1 << 20
-PIVOT_LIMIT = 4096
+PIVOT_LIMIT = 1 << 15
+PIVOT_BYTES = 64 << 20
+TABLE_CELLS = 1 << 24  # distance tables are made in slices of at most this many numbers
 SLACK = 1e-6
 CANDIDATES = "array<struct<distance:double,neighbor_id:bigint,neighbor_label:bigint>>"
 PACKED = "cell int, block int, rows int, keys binary, matrix binary, ids binary, labels binary, bound binary, cells array<int>"
@@ -58,6 +60,11 @@ def _nearest(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, labels:
     return row[best], value[order], item[order], label[order]
 
 
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, TABLE_CELLS // columns)
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
 def _merge_copies(df: DataFrame, id_col: str, vec_col: str, label_col: str, keep: int) -> tuple[DataFrame, DataFrame]:
     """(rows with vector key, distinct vectors with their ``keep`` lowest ids). The key is a 128-bit hash."""
     rows = df.select(
@@ -77,10 +84,16 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            similarity = _unit_rows(batch["vec"]) @ pivots.T
-            cell = similarity.argmax(axis=1)
-            gap = np.sqrt(np.clip(2.0 - 2.0 * similarity[np.arange(len(cell)), cell], 0.0, None))
-            yield batch.assign(cell=cell.astype(np.int32), gap=gap)
+            if not len(batch):
+                continue
+            matrix = _unit_rows(batch["vec"])
+            cells, nearest = [], []
+            for part in _slices(len(matrix), len(pivots)):
+                similarity = matrix[part] @ pivots.T
+                cells.append(similarity.argmax(axis=1))
+                nearest.append(similarity.max(axis=1))
+            gap = np.sqrt(np.clip(2.0 - 2.0 * np.concatenate(nearest), 0.0, None))
+            yield batch.assign(cell=np.concatenate(cells).astype(np.int32), gap=gap)
 
     columns = [T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]
     return df.mapInPandas(place, T.StructType(df.schema.fields + columns))
@@ -92,6 +105,17 @@ def _pack(
 ) -> DataFrame:
     """One row per block: its matrix, a bound per vector and the cells its vectors have to visit."""
 
+    def to_visit(gaps: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Which cells each vector needs: those within its bound, or its nearest ones that hold enough items."""
+        if probes is None:
+            return (gaps - radius) <= worst[:, None] + SLACK
+        ranked = np.argsort(gaps, axis=1, kind="stable")
+        reach = np.cumsum(size[ranked], axis=1)
+        needed = np.maximum(probes, (reach < keep).sum(axis=1) + 1)
+        visit = np.zeros(gaps.shape, dtype=bool)
+        np.put_along_axis(visit, ranked, np.arange(gaps.shape[1]) < needed[:, None], axis=1)
+        return visit
+
     def packed(group, matrix, ids, labels, bound, cells) -> pd.DataFrame:
         return pd.DataFrame([{
             "cell": int(group["cell"].iloc[0]), "block": int(group["block"].iloc[0]), "rows": len(group),
@@ -113,16 +137,11 @@ def _pack(
         last = np.searchsorted(row, np.arange(len(group)), side="right") - 1
         full = np.bincount(row, minlength=len(group)) >= keep
         worst[full] = np.sqrt(2.0 * distance[last[full]])
-        gaps = np.sqrt(np.clip(2.0 - 2.0 * (matrix @ pivots.T), 0.0, None))
-        if probes is None:
-            visit = (gaps - radius) <= worst[:, None] + SLACK
-        else:
-            ranked = np.argsort(gaps, axis=1, kind="stable")
-            reach = np.cumsum(size[ranked], axis=1)
-            needed = np.maximum(probes, (reach < keep).sum(axis=1) + 1)
-            visit = np.zeros(gaps.shape, dtype=bool)
-            np.put_along_axis(visit, ranked, np.arange(gaps.shape[1]) < needed[:, None], axis=1)
-        return packed(group, matrix, ids, labels, worst, np.flatnonzero(visit.any(axis=0)).astype(np.int32))
+        visited = np.zeros(len(pivots), dtype=bool)
+        for part in _slices(len(matrix), len(pivots)):
+            gaps = np.sqrt(np.clip(2.0 - 2.0 * (matrix[part] @ pivots.T), 0.0, None))
+            visited |= to_visit(gaps, worst[part]).any(axis=0)
+        return packed(group, matrix, ids, labels, worst, np.flatnonzero(visited).astype(np.int32))
 
     return placed.groupBy("cell", "block").applyInPandas(pack, PACKED)
 
@@ -134,7 +153,7 @@ def _blocks(
     if count <= block_rows:
         single = distinct.withColumns({"cell": F.lit(0), "block": F.lit(0)})
         return _pack(single, np.zeros((1, width)), np.zeros(1), np.zeros(1), keep, None, alone=True)
-    wanted = min(-(-count // block_rows), PIVOT_LIMIT)
+    wanted = min(-(-count // block_rows), PIVOT_LIMIT, max(1, PIVOT_BYTES // (8 * width)))
     sample = distinct.orderBy("v1", "v2").limit(wanted).collect()
     pivots = _unit_rows(pd.Series([row.vec for row in sample]))
     placed = materialize(_place(distinct, pivots))
@@ -145,8 +164,11 @@ def _blocks(
     cuts = np.ones(wanted, dtype=np.int64)
     for stat in stats:
         radius[stat.cell], size[stat.cell], cuts[stat.cell] = stat.radius, stat.ids, -(-stat.n // block_rows)
-    cut = F.element_at(F.array(*[F.lit(int(c)) for c in cuts]), F.col("cell") + 1)
-    return _pack(placed.withColumn("block", F.pmod("v2", cut).cast("int")), pivots, radius, size, keep, probes)
+    cut = small_table(
+        distinct.sparkSession.createDataFrame([(cell, int(cuts[cell])) for cell in range(wanted)], "cell int, cut int")
+    )
+    blocks = placed.join(cut, "cell").withColumn("block", F.pmod("v2", "cut").cast("int")).drop("cut")
+    return _pack(blocks, pivots, radius, size, keep, probes)
 
 
 def _search(pairs: DataFrame, keep: int, width: int) -> DataFrame:
