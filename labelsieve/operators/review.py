@@ -223,6 +223,7 @@ def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int
             F.max_by("label", F.when(F.col("label").isNotNull(), F.col("seq"))).alias("_label"),
             F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("_status"),
         )
+        .filter("_label IS NOT NULL OR _status IS NOT NULL")
     )
     columns = ["session_id", "seq", "op", "item_id", "label", "status"]
     ordered = rows.filter(F.col("seq") <= F.col("_last_reversal")).select(*columns)

@@ -50,12 +50,50 @@ def change_counts(spark, d):
     return review.effective_updates(log, start).groupBy("item_id").agg(F.count("*").alias("changes"))
 
 
-@query()
+_FOLD = """
+WITH RECURSIVE cmd AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+         CASE event_type WHEN 'view' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'update' END AS op,
+         'i' || (CAST(floor(value) AS BIGINT) % 7) AS item,
+         CASE WHEN CAST(floor(value) AS BIGINT) % 3 <> 0 THEN 'class_' || (CAST(floor(value) AS BIGINT) % 4) END AS label,
+         CASE event_type WHEN 'click' THEN 'correct' WHEN 'purchase' THEN 'modified' END AS status
+  FROM events
+),
+st AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS n, []::STRUCT(i VARCHAR, bl VARCHAR, bs VARCHAR, al VARCHAR, s2 VARCHAR)[] AS undo,
+         []::STRUCT(i VARCHAR, bl VARCHAR, bs VARCHAR, al VARCHAR, s2 VARCHAR)[] AS redo,
+         MAP([]::VARCHAR[], []::STRUCT(l VARCHAR, s VARCHAR)[]) AS items
+  FROM cmd
+  UNION ALL
+  SELECT session_id, n,
+         CASE WHEN eff THEN list_append(undo, {'i': item, 'bl': bl, 'bs': bs, 'al': al, 's2': s2})[-2048:]
+              WHEN op = 'undo' THEN undo[1:len(undo) - 1]
+              WHEN op = 'redo' AND len(redo) > 0 THEN list_append(undo, redo[-1])[-2048:] ELSE undo END,
+         CASE WHEN eff THEN [] WHEN op = 'undo' AND len(undo) > 0 THEN list_append(redo, undo[-1])
+              WHEN op = 'redo' THEN redo[1:len(redo) - 1] ELSE redo END,
+         CASE WHEN eff THEN map_concat(items, MAP([item], [{'l': al, 's': s2}]))
+              WHEN op = 'undo' AND len(undo) > 0 THEN map_concat(items, MAP([undo[-1].i], [{'l': undo[-1].bl, 's': undo[-1].bs}]))
+              WHEN op = 'redo' AND len(redo) > 0 THEN map_concat(items, MAP([redo[-1].i], [{'l': redo[-1].al, 's': redo[-1].s2}]))
+              ELSE items END
+  FROM (
+    SELECT st.session_id, c.n, op, item, undo, redo, items, items[item].l AS bl, items[item].s AS bs,
+           coalesce(label, items[item].l) AS al, coalesce(status, items[item].s) AS s2,
+           op = 'update' AND (coalesce(label, items[item].l) IS DISTINCT FROM items[item].l
+                              OR coalesce(status, items[item].s) IS DISTINCT FROM items[item].s) AS eff
+    FROM st JOIN cmd c ON c.session_id = st.session_id AND c.n = st.n + 1
+  )
+),
+ends AS (SELECT session_id, unnest(map_entries(items)) AS e FROM st QUALIFY n = max(n) OVER (PARTITION BY session_id))
+SELECT session_id, e.key AS item_id, e.value.l AS label, e.value.s AS status FROM ends
+"""
+
+
+@query(_FOLD)
 def undo_redo_fold(spark, d):
     return review.undo_redo_fold(views.session_commands(spark, d))
 
 
-@query()
+@query(_FOLD)
 def review_stream(spark, d):
     """The same fold as a stream over the event file; equals ``undo_redo_fold`` for the items it touched."""
     ensure_checkpoint_dir(spark)
