@@ -6,11 +6,13 @@ memory does not depend on the batch. One text longer than that is a block of its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 1000
@@ -19,6 +21,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
+#: Letters, digits and everything beyond ASCII, for words without the punctuation around them.
+ALPHANUMERIC = np.zeros(256, dtype=bool)
+ALPHANUMERIC[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -61,10 +66,10 @@ def text_blocks(texts: pa.Array, max_bytes: int = BLOCK_BYTES, max_rows: int = B
         first = last
 
 
-def find_words(block: Block) -> Words:
-    """Maximal runs of bytes other than white space; a word never spans two texts."""
+def find_words(block: Block, inside: np.ndarray = _WORD) -> Words:
+    """Maximal runs of bytes of a kind, by default all but white space; a word never spans two texts."""
     n, data, offsets = block.last - block.first, block.data, block.offsets
-    inside = _WORD[data]
+    inside = inside[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = inside
     after = np.zeros(len(data) + 1, dtype=bool)
@@ -120,3 +125,20 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return at, table[at] == keys
+
+
+def with_text_columns(
+    df: DataFrame, text: str, fields: list[T.StructField], compute: Callable[[pa.Array], list[pa.Array]],
+) -> DataFrame:
+    """Add columns that ``compute`` derives from a batch of texts. Columns of the same names are replaced."""
+    new = {field.name for field in fields}
+    rest = df.drop(*[name for name in df.columns if name in new and name != text])
+    schema = T.StructType([field for field in rest.schema.fields if field.name not in new] + list(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [column for name, column in zip(batch.schema.names, batch.columns) if name not in new]
+            texts = batch.column(batch.schema.get_field_index(text))
+            yield pa.RecordBatch.from_arrays([*kept, *compute(texts)], names=schema.names)
+
+    return rest.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """BPE encoding and decoding over tables of distinct words.
 
 Spark splits the texts into words with the tokenizer's own pattern. In every partition the words' distinct values form a
-table; each distinct word of it is encoded once, and the ids are joined back by position. Decoding joins every id with
+table; a distinct word is encoded once for it, and the ids are joined back by position. Decoding joins every id with
 its piece of the vocabulary, whose size is fixed by the tokenizer file, and concatenates the pieces.
 
 The distinct-word table is kept by partition: one for the whole corpus would send every word occurrence through a
@@ -11,6 +11,7 @@ shuffle twice, several times the size of the input, to save a few microseconds f
 from __future__ import annotations
 
 import json
+from itertools import chain
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tiktoken import Encoding
 from tokenizers import Tokenizer
 
 #: Fixed value: the word pattern of byte-level BPE. White space is that of Unicode.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -38,40 +40,78 @@ def added_tokens(definition: str) -> list[str]:
     return [token["content"] for token in json.loads(definition)["added_tokens"]]
 
 
-def split_words(text: Column, added: list[str]) -> Column:
-    """Words of a text in order. A text that holds an added token, or a character that this Java does not know, is one
-    word: the tokenizer splits it itself."""
-    text = F.coalesce(text, F.lit(""))
+def is_whole(text: Column, added: list[str]) -> Column:
+    """Whether a text holds an added token, or a character that this Java does not know: the tokenizer splits it itself."""
     unknown = (F.octet_length(text) > F.length(text)) & text.rlike(r"\p{Cn}")
     for token in added:
         unknown = unknown | text.contains(token)
-    return F.when(unknown, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)))
+    return F.coalesce(unknown, F.lit(False))
 
 
-class WordTable:
-    """Distinct words met so far, each with its ids in one flat array."""
+def split_words(text: Column, whole: Column) -> Column:
+    """Words of a text in order; a whole text is one word."""
+    split = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    return F.coalesce(F.when(whole, F.array(text)).otherwise(split), F.array().cast("array<string>"))
+
+
+def printable_bytes() -> dict[str, int]:
+    """The characters that stand for bytes in the vocabulary file."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in printable]
+    return {chr(byte): byte for byte in printable} | {chr(256 + n): byte for n, byte in enumerate(others)}
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self.clear()
 
-    def clear(self) -> None:
+def word_encoder(definition: str) -> Encoding:
+    """An encoder of single words with the file's vocabulary, in which ids are in the order of merges."""
+    model, to_byte = json.loads(definition)["model"], printable_bytes()
+    ranks = {bytes(to_byte[c] for c in piece): at for piece, at in model["vocab"].items() if all(c in to_byte for c in piece)}
+    merged = [model["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("the ids of this vocabulary are not in the order of its merges")
+    return Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+
+class WordTable:
+    """Distinct words met by this worker, each with its ids in one flat array; words beyond its capacity are kept for
+    one slice of a batch."""
+
+    def __init__(self, definition: str):
+        self.words = word_encoder(definition)
+        self.texts = Tokenizer.from_str(definition)
+        self.added = added_tokens(definition)
         self.place: dict[str, int] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """Positions of distinct words in the table; those that it lacks are encoded and added."""
-        if len(self.place) + len(words) > CACHED_WORDS:
-            self.clear()
+    def encode(self, words: list[str], whole: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = self.words.encode_ordinary_batch([w if w not in whole else "" for w in words], num_threads=1)
+        if whole:
+            encoded = [self.texts.encode(w, add_special_tokens=False).ids if w in whole else e for w, e in zip(words, encoded)]
+        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        return sizes, np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(sizes.sum()))
+
+    def find(self, words: list[str], whole: set[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, start of every word's ids, their number) for distinct words."""
         new = [word for word in words if word not in self.place]
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.concatenate([np.asarray(e, dtype=np.int32) for e in encoded])])
-        return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        sizes, ids = self.encode(new, whole)
+        starts, flat = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)]), np.concatenate([self.ids, ids])
+        here = dict(zip(new, range(len(self.place), len(self.place) + len(new))))
+        place = np.fromiter((here[w] if w in here else self.place[w] for w in words), dtype=np.int64, count=len(words))
+        if not whole and len(self.place) + len(new) <= CACHED_WORDS:
+            self.place.update(here)
+            self.starts, self.ids = starts, flat
+        return flat, starts[place], starts[place + 1] - starts[place]
+
+
+_tables: dict[str, WordTable] = {}
+
+
+def word_table(definition: str) -> WordTable:
+    """The table of this worker for a tokenizer: it outlives a task."""
+    if definition not in _tables:
+        _tables.clear()
+        _tables[definition] = WordTable(definition)
+    return _tables[definition]
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -80,20 +120,21 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.arange(len(shift)) + shift]
 
 
-def ids_of(table: WordTable, words: pa.ListArray) -> pa.ListArray:
-    """Ids of every list of words, joined back by position."""
+def ids_of(table: WordTable, words: pa.ListArray, whole: np.ndarray) -> pa.ListArray:
+    """Ids of every list of words, joined back by position. ``whole`` marks lists whose one word is a whole text."""
     bounds = np.asarray(words.offsets)
     distinct = words.values[int(bounds[0]):int(bounds[-1])].dictionary_encode()
     if not len(distinct):
         return pa.ListArray.from_arrays(pa.array(np.zeros(len(words) + 1, dtype=np.int32)), pa.array([], pa.int32()))
-    place = table.places(distinct.dictionary.to_pylist())[np.asarray(distinct.indices)]
-    starts = table.starts[place]
-    sizes = table.starts[place + 1] - starts
+    texts = {words[int(row)].as_py()[0] for row in np.flatnonzero(whole)}
+    flat, starts, sizes = table.find(distinct.dictionary.to_pylist(), texts)
+    at = np.asarray(distinct.indices)
+    starts, sizes = starts[at], sizes[at]
     ends = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gather(table.ids, starts, sizes)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gather(flat, starts, sizes)))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     for first in range(0, batch.num_rows, rows):
         yield batch.slice(first, rows)
 
@@ -105,25 +146,25 @@ def encode(df: DataFrame, text: str, definition: str, out: str = "ids") -> DataF
     named ``out`` is replaced.
     """
     rest = df.drop(out)
-    words = split_words(F.col(text), added_tokens(definition))
+    whole = is_whole(F.col(text), added_tokens(definition))
+    words = split_words(F.col(text), whole)
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(Tokenizer.from_str(definition))
-        for whole in batches:
-            for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids_of(table, batch.column(-1))], names=schema.names)
+        table = word_table(definition)
+        for received in batches:
+            for batch in slices(received):
+                marks = np.asarray(batch.column(-1).to_numpy(zero_copy_only=False), dtype=bool)
+                ids = ids_of(table, batch.column(batch.num_columns - 2), marks)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], ids], names=schema.names)
 
-    return rest.select("*", words.alias("_words_")).mapInArrow(run, schema)
+    return rest.select("*", words.alias("_words_"), whole.alias("_whole_")).mapInArrow(run, schema)
 
 
 def vocabulary(definition: str) -> pa.BinaryArray:
     """The id-to-piece table: bytes of every id, in the order of ids."""
     tokenizer = Tokenizer.from_str(definition)
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [byte for byte in range(256) if byte not in printable]
-    to_byte = {chr(byte): byte for byte in printable} | {chr(256 + n): byte for n, byte in enumerate(others)}
-    added = set(added_tokens(definition))
+    to_byte, added = printable_bytes(), set(added_tokens(definition))
     pieces: list[bytes] = [b""] * (max(tokenizer.get_vocab().values()) + 1)
     for piece, at in tokenizer.get_vocab().items():
         pieces[at] = piece.encode() if piece in added else bytes(to_byte[c] for c in piece)

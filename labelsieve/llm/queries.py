@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm import byte_bpe
+from labelsieve.llm import byte_bpe, kneser_ney
 from labelsieve.plans.registry import Query
+from labelsieve.session import materialize
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -33,10 +34,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = byte_bpe.read_tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, "text", definition).drop("text")
+    encoded = materialize(byte_bpe.encode(docs, "text", definition).drop("text"))
     decoded = byte_bpe.decode(encoded, "ids", definition)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def crc_mod(column: str, modulus: int):
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> kneser_ney.ToxicityModel:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod("doc_id", 3) != 1)
+    return kneser_ney.fit(table(spark, sf_dir, "documents"), labels, "doc_id", "text", "toxic")
+
+
+@register("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = kneser_ney.score(docs, "text", toxicity_model(spark, sf_dir)).drop("text")
+    return scored.select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
