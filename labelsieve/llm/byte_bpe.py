@@ -77,16 +77,16 @@ class WordTable:
 
     def __init__(self, definition: str):
         self.words = word_encoder(definition)
-        self.texts = Tokenizer.from_str(definition)
-        self.added = added_tokens(definition)
+        self.definition = definition
         self.place: dict[str, int] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
     def encode(self, words: list[str], whole: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        encoded = self.words.encode_ordinary_batch([w if w not in whole else "" for w in words], num_threads=1)
-        if whole:
-            encoded = [self.texts.encode(w, add_special_tokens=False).ids if w in whole else e for w, e in zip(words, encoded)]
+        encoded = [self.words.encode_ordinary(w) if w not in whole else [] for w in words]
+        if whole:  # rare, so the library's tokenizer is not kept
+            texts = Tokenizer.from_str(self.definition)
+            encoded = [texts.encode(w, add_special_tokens=False).ids if w in whole else e for w, e in zip(words, encoded)]
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         return sizes, np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(sizes.sum()))
 
@@ -163,11 +163,10 @@ def encode(df: DataFrame, text: str, definition: str, out: str = "ids") -> DataF
 
 def vocabulary(definition: str) -> pa.BinaryArray:
     """The id-to-piece table: bytes of every id, in the order of ids."""
-    tokenizer = Tokenizer.from_str(definition)
-    to_byte, added = printable_bytes(), set(added_tokens(definition))
-    pieces: list[bytes] = [b""] * (max(tokenizer.get_vocab().values()) + 1)
-    for piece, at in tokenizer.get_vocab().items():
-        pieces[at] = piece.encode() if piece in added else bytes(to_byte[c] for c in piece)
+    to_byte, parsed = printable_bytes(), json.loads(definition)
+    known = {at: bytes(to_byte[c] for c in piece) for piece, at in parsed["model"]["vocab"].items()}
+    known |= {token["id"]: token["content"].encode() for token in parsed["added_tokens"]}
+    pieces = [known.get(at, b"") for at in range(max(known) + 1)]
     return pa.array(pieces, pa.binary())
 
 

@@ -29,6 +29,9 @@ LEAST_COUNT = 5
 DISCOUNT = 3.0
 STRETCH = 8
 FEATURES = 4
+MOST = 3.0
+STRIKING = 2.0
+ENOUGH = 1.2
 START = np.uint64(0x51A7)
 
 
@@ -121,7 +124,7 @@ def differences(words: dict, pairs: dict, contexts: dict, totals: np.ndarray, ty
     after = []
     for k, of in enumerate((ordinary, toxic)):
         base = np.where(known, alone[k][order][at] if len(order) else 0, 1e-9)
-        weight = np.where(context_known, np.clip(DISCOUNT * contexts["follow"][spot] / np.maximum(contexts["n"][spot], 1), 0.05, 1), 1)
+        weight = np.where(context_known, np.clip(DISCOUNT * contexts["follow"][spot] / np.maximum(contexts["n"][spot], 1), 0.2, 1), 1)
         here = np.maximum(pick(contexts["by"], of)[spot], 0)
         seen = np.maximum(pick(pairs["n"], of) - DISCOUNT, 0) / np.maximum(here, 1)
         after.append(np.where(context_known & (here > 0), (1 - weight) * seen + weight * base, base))
@@ -131,7 +134,7 @@ def differences(words: dict, pairs: dict, contexts: dict, totals: np.ndarray, ty
 
 
 def text_features(texts: pa.Array, tables: Differences) -> np.ndarray:
-    """By text: difference per word, that of the most striking stretch, strong words in all, greatest single word."""
+    """By text: difference per word, that of the most striking stretch, what striking words are above the bar, and that up to a bound."""
     out = np.zeros((len(texts), FEATURES))
     for block in text_blocks(texts):
         hashes, bounds = _hashes(block)
@@ -142,6 +145,7 @@ def text_features(texts: pa.Array, tables: Differences) -> np.ndarray:
         _, keys = pair_keys(hashes, bounds)
         at, known = lookup(tables.pairs, keys)
         values = np.where(known, tables.pair_values[at] if len(tables.pairs) else 0, values)
+        values = np.clip(values, -MOST, MOST)  # no single expression decides
         sizes = np.diff(bounds)
         sums = np.concatenate([[0.0], np.cumsum(values)])
         ends = np.arange(1, len(values) + 1)
@@ -150,8 +154,9 @@ def text_features(texts: pa.Array, tables: Differences) -> np.ndarray:
         rows = slice(block.first, block.last)
         out[rows, 0] = by_row(values, bounds, empty=0.0) / np.maximum(sizes, 1)
         out[rows, 1] = by_row(stretches, bounds, np.maximum, 0.0)
-        out[rows, 2] = np.log1p(by_row(np.maximum(values - 2, 0), bounds, empty=0.0))
-        out[rows, 3] = by_row(values, bounds, np.maximum, 0.0)
+        striking = by_row(np.maximum(values - STRIKING, 0), bounds, empty=0.0)
+        out[rows, 2] = np.log1p(striking)
+        out[rows, 3] = np.minimum(striking, ENOUGH)
     return out
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm import byte_bpe, kneser_ney
+from labelsieve.llm import byte_bpe, kneser_ney, prefix_join
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
 
@@ -60,3 +60,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@register("op9_decontamination", sql=r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(len(words), 13) AS length FROM b WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, length, array_to_string(words[s:s + length - 1], ' ') AS passage
+  FROM (SELECT item_id, words, length, unnest(range(1, len(words) - length + 2)) AS s FROM sized)),
+lengths AS (SELECT DISTINCT length FROM windows),
+grams AS (
+  SELECT doc_id, s, length, array_to_string(words[s:s + length - 1], ' ') AS passage
+  FROM (SELECT doc_id, words, length, unnest(range(1, len(words) - length + 2)) AS s FROM d, lengths WHERE len(words) >= length)),
+hits AS (SELECT doc_id, s, length, item_id FROM grams JOIN windows USING (length, passage)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + length)) AS p FROM (SELECT DISTINCT doc_id, s, length FROM hits)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = prefix_join.mark_contamination(
+        docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", ("doc_id", "text"))
+    return marked.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
