@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm import byte_bpe, kneser_ney, prefix_join
+from labelsieve.llm import byte_bpe, contextual_pii, kneser_ney, prefix_join
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
 
@@ -96,3 +96,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contextual_pii.with_spans(docs, "text", ("doc_id", "text")).drop("text")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in contextual_pii.KINDS],
+        F.sha2(contextual_pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        contextual_pii.span_text(F.col("spans")).alias("spans"))
