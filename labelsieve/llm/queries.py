@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm import byte_bpe, contextual_pii, kneser_ney, prefix_join
+from labelsieve.llm import byte_bpe, circulant_minhash, contextual_pii, kneser_ney, prefix_join
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
 
@@ -110,3 +110,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind) for kind in contextual_pii.KINDS],
         F.sha2(contextual_pii.span_text(F.col("base")), 256).alias("base_sha256"),
         contextual_pii.span_text(F.col("spans")).alias("spans"))
+
+
+@register("op2_minhash", sql=r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+mutual AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS r FROM mutual UNION SELECT reach.doc_id, mutual.b FROM reach JOIN mutual ON mutual.a = reach.r),
+lowest AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r, d.doc_id)::BIGINT AS component_id,
+  coalesce(r, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN lowest USING (doc_id)
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return circulant_minhash.near_duplicates(docs, "text", "doc_id").select("doc_id", "n_shingles", "component_id", "kept")
