@@ -49,8 +49,10 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def text_blocks(texts: pa.Array, max_bytes: int = BLOCK_BYTES, max_rows: int = BLOCK_ROWS) -> Iterator[Block]:
-    """Blocks of whole texts with A-Z in lower case; a null text is empty."""
+def text_blocks(
+    texts: pa.Array, max_bytes: int = BLOCK_BYTES, max_rows: int = BLOCK_ROWS, lower: bool = True,
+) -> Iterator[Block]:
+    """Blocks of whole texts, with A-Z in lower case unless ``lower`` is off; a null text is empty."""
     texts = texts.fill_null("").cast(pa.large_string())
     if not len(texts):
         return
@@ -61,7 +63,8 @@ def text_blocks(texts: pa.Array, max_bytes: int = BLOCK_BYTES, max_rows: int = B
     while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + max_bytes, side="right")) - 1
         last = min(max(last, first + 1), first + max_rows, len(texts))
-        part = _LOWER[data[offsets[first]:offsets[last]]]
+        part = data[offsets[first]:offsets[last]]
+        part = _LOWER[part] if lower else part
         yield Block(first, last, part, offsets[first:last + 1] - offsets[first])
         first = last
 

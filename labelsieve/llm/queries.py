@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm import byte_bpe, circulant_minhash, contextual_pii, kneser_ney, prefix_join
+from labelsieve.llm import (
+    byte_bpe, chat_collapse, circulant_minhash, contextual_pii, kneser_ney, longest_match, prefix_join,
+)
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
 
@@ -134,3 +136,32 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN lowest USING (doc_id)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return circulant_minhash.near_duplicates(docs, "text", "doc_id").select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op7_chat_collapse", sql="""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT conv_id, pos, max(pos) OVER (PARTITION BY conv_id) AS n,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix
+  FROM t),
+whole AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY prefix, n),
+kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = whole.prefix AND p.pos = whole.n AND p.pos < p.n)),
+texts AS (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY conv_id)
+SELECT conv_id, n::BIGINT AS n_turns, n_copies::BIGINT AS n_copies, length(rendered)::BIGINT AS n_chars, sha256(rendered) AS rendered_sha256
+FROM kept JOIN texts USING (conv_id)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = chat_collapse.collapse(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return kept.select(
+        F.col("conv").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), "n_copies",
+        F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+@register("op4_longest_match")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = byte_bpe.vocabulary(byte_bpe.read_tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json")).to_pylist()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return longest_match.count_pieces(docs, "text", pieces).select("doc_id", "n_words", "n_pieces")
