@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.llm import (
-    byte_bpe, chat_collapse, circulant_minhash, contextual_pii, kneser_ney, longest_match, prefix_join,
+    byte_bpe, chat_collapse, circulant_minhash, contextual_pii, flat_graph, kneser_ney, longest_match, prefix_join,
 )
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
@@ -165,3 +165,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = byte_bpe.vocabulary(byte_bpe.read_tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json")).to_pylist()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return longest_match.count_pieces(docs, "text", pieces).select("doc_id", "n_words", "n_pieces")
+
+
+@register("op8_flat_graph", sql="""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT a AS vec_id, b AS r FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+lowest AS (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(coalesce(r, vec_id), vec_id)::BIGINT AS component_id,
+  least(coalesce(r, vec_id), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN lowest USING (vec_id) LEFT JOIN degree USING (vec_id)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
