@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.llm import (
-    byte_bpe, chat_collapse, circulant_minhash, contextual_pii, flat_graph, kneser_ney, longest_match, prefix_join,
+    byte_bpe, chat_collapse, circulant_minhash, context_tree, contextual_pii, flat_graph, kneser_ney, longest_match,
+    prefix_join, word_counts,
 )
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
@@ -184,3 +185,15 @@ FROM embeddings LEFT JOIN lowest USING (vec_id) LEFT JOIN degree USING (vec_id)
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@register("op1_context_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    training = docs.filter(~held_out).select("text")
+    counts, model = word_counts.count_words(training, "text"), context_tree.fit(training, "text")
+    scored = word_counts.base_scores(context_tree.score(docs.withColumn("held_out", held_out), "text", model), "text", counts)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score",
+        F.col("log10_probability").alias("score"), "n_bytes", "bits_per_byte")
