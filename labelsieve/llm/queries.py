@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.llm import (
     byte_bpe, chat_collapse, circulant_minhash, context_tree, contextual_pii, flat_graph, kneser_ney, longest_match,
-    prefix_join, word_counts,
+    prefix_join, suffix_html, word_counts,
 )
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
@@ -197,3 +197,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score",
         F.col("log10_probability").alias("score"), "n_bytes", "bits_per_byte")
+
+
+@register("op5_suffix_html")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = suffix_html.main_text(pages, "url", "html")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
