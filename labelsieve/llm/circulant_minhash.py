@@ -2,10 +2,11 @@
 
 Two permutations of the 32-bit numbers make a signature of any length: the first spreads the shingles, the second is
 shifted circularly by one place for each coordinate. Bands of coordinates give buckets. Texts with equal shingle sets are
-one class; in every bucket the classes are first compared with its lowest class, and links and components follow. Then
-classes that share a bucket but no component yet are compared among themselves, so that no link between components is
-lost and a bucket full of copies costs as many comparisons as it has members. A link counts after the exact comparison
-of the whole sets.
+one class; in every bucket the classes are first compared with its hub, the class that shares buckets with most others
+and so is near the middle of its group, and links and components follow. Then classes that share a bucket but no component
+yet are compared among themselves, so that no link between components is lost and a bucket full of copies costs as many
+comparisons as it has members. Jaccard distances obey the triangle inequality: two classes whose exact distances to the
+hub differ by more than a link allows need no comparison. A link counts after the exact comparison of the whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ class Rule:
     """Shingles of ``words`` words; a link needs ``parts`` x intersection >= ``least`` x union.
 
     A pair at the threshold s shares no band with probability (1 - s^rows)^bands: about 1e-5 for either rule here.
-    ``unlike`` of the 128 sketched bits may differ: at the threshold that is eight standard deviations above the mean.
     """
 
     words: int
@@ -38,11 +38,18 @@ class Rule:
     parts: int = 100
     rows: int = 6
     bands: int = 24
-    unlike: int = 34
+
+    def most_differing(self) -> int:
+        """Of ``LONG_BITS`` sketched bits, so many differ at most for linked sets: 5.5 standard deviations above the mean."""
+        p = (1 - self.least / self.parts) / 2
+        return int(LONG_BITS * p + 5.5 * (LONG_BITS * p * (1 - p)) ** 0.5)
 
 
 CLOSE = Rule(words=3, least=85)
-USUAL = Rule(words=5, least=80, rows=5, bands=30, unlike=42)
+USUAL = Rule(words=5, least=80, rows=5, bands=30)
+SKETCH = ["_s1", "_s2"]
+UNRELATED_BITS = 48  # of the 128 bits of a short sketch
+LONG_BITS = 2048
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -105,7 +112,7 @@ def _bits(signature: np.ndarray, first: int) -> np.ndarray:
 
 
 def describe(texts: pa.Array, rule: Rule) -> list[pa.Array]:
-    """n_shingles, two fingerprints of the set, two sketches of its signature, and its bands."""
+    """n_shingles, two fingerprints of the set, two words of a sketch of its signature, and its bands."""
     n = len(texts)
     count = np.zeros(n, dtype=np.int64)
     prints = np.zeros((4, n), dtype=np.uint64)
@@ -117,7 +124,8 @@ def describe(texts: pa.Array, rule: Rule) -> list[pa.Array]:
         prints[0, rows] = by_row(mix(values * np.uint64(3)), bounds)
         prints[1, rows] = by_row(mix(values ^ _SPREAD), bounds)
         signature = signatures(values, bounds, max(rule.rows * rule.bands, 128))
-        prints[2, rows], prints[3, rows] = _bits(signature, 0), _bits(signature, 64)
+        for k in range(2):
+            prints[2 + k, rows] = _bits(signature, 64 * k)
         for band in range(rule.bands):
             joined = np.full(block.last - block.first, band, dtype=np.uint64)
             for k in range(band * rule.rows, (band + 1) * rule.rows):
@@ -146,17 +154,39 @@ def near_sizes(rule: Rule, a: Column, b: Column) -> Column:
     return rule.parts * F.least(a, b) >= rule.least * F.greatest(a, b)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets fulfil the rule."""
+def long_sketches(texts: pa.Array, rule: Rule) -> list[pa.Array]:
+    """``LONG_BITS`` bits of each set: the lowest bit of as many further coordinates of its signature."""
+    bits = np.zeros((len(texts), LONG_BITS // 64), dtype=np.uint64)
+    for block in text_blocks(texts):
+        values, _, bounds = shingle_hashes(block, rule.words)
+        signature = signatures(values, bounds, LONG_BITS)
+        for k in range(LONG_BITS // 64):
+            bits[block.first:block.last, k] = _bits(signature, 64 * k)
+    return [pa.array(column.view(np.int64)) for column in np.ascontiguousarray(bits.T)]
+
+
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(cls, text) of some classes."""
+    keys = classes.join(wanted, "cls").select("cls", *KEY)
+    return docs.select(*KEY, text).join(keys, KEY).dropDuplicates(["cls"]).select("cls", text)
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which the short sketches of two rows differ; ``a`` and ``b`` are prefixes of the columns."""
+    return sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH), F.lit(0))
+
+
+def compare_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, rule: Rule) -> DataFrame:
+    """(a, b, linked, distance) of pairs of classes, from their whole sets."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = classes.join(ends, "cls").select("cls", *KEY)
-    held = docs.select(*KEY, text).join(wanted, KEY).dropDuplicates(["cls"]).select("cls", text)
+    held = texts_of(ends, classes, docs, text)
     fields = [T.StructField("shingles", T.ArrayType(T.LongType(), False))]
     sets = materialize(with_text_columns(held, text, fields, lambda texts: sets_of(texts, rule)).drop(text))
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("_a")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("shingles").alias("_b")), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(is_link(rule, common, F.size("_a"), F.size("_b"))).select("a", "b")
+    counted = both.select("a", "b", F.size("_a").alias("na"), F.size("_b").alias("nb"), F.size(F.array_intersect("_a", "_b")).alias("c"))
+    union = F.col("na") + F.col("nb") - F.col("c")
+    return counted.select("a", "b", is_link(rule, F.col("c"), F.col("na"), F.col("nb")).alias("linked"), (1 - F.col("c") / union).alias("distance"))
 
 
 def near_duplicates(docs: DataFrame, text: str, doc_id: str, rule: Rule = CLOSE) -> DataFrame:
@@ -168,7 +198,7 @@ def near_duplicates(docs: DataFrame, text: str, doc_id: str, rule: Rule = CLOSE)
     """
     new = ["n_shingles", "component_id", "kept"]
     rows = with_key(docs.drop(*[c for c in new if c not in (text, doc_id)]), doc_id, text)
-    fields = [T.StructField(name, T.LongType()) for name in ("n_shingles", "_p1", "_p2", "_s1", "_s2")]
+    fields = [T.StructField(name, T.LongType()) for name in ("n_shingles", "_p1", "_p2", *SKETCH)]
     fields.append(T.StructField("_bands", T.ArrayType(T.LongType(), False)))
     known = materialize(with_text_columns(rows, text, fields, lambda texts: describe(texts, rule)).drop(text))
 
@@ -176,49 +206,63 @@ def near_duplicates(docs: DataFrame, text: str, doc_id: str, rule: Rule = CLOSE)
     prints = ["_p1", "_p2", "n_shingles"]
     classes = materialize(
         filled.groupBy(*prints).agg(
-            F.min(F.struct(F.col(doc_id).alias("id"), *KEY, "_s1", "_s2", "_bands")).alias("m"))
+            F.min(F.struct(F.col(doc_id).alias("id"), *KEY, *SKETCH, "_bands")).alias("m"))
         .select(
             *prints, F.xxhash64(*prints).alias("cls"), F.col("m.id").alias("id"), *[F.col(f"m.{k}").alias(k) for k in KEY],
-            "m._s1", "m._s2", "m._bands"))
-    members = classes.select("cls", F.col("n_shingles").alias("n"), "_s1", "_s2", F.posexplode("_bands").alias("band", "bucket"))
-    shared = materialize(
-        members.groupBy("band", "bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size"))
-    crowded = materialize(members.join(shared, ["band", "bucket"]))
+            *[f"m.{c}" for c in SKETCH], "m._bands"))
+    members = classes.select("cls", F.col("n_shingles").alias("n"), *SKETCH, F.posexplode("_bands").alias("band", "bucket"))
+    place = ["band", "bucket"]
+    shared = materialize(members.groupBy(*place).agg(F.count("*").alias("size")).filter("size > 1"))
+    crowded = materialize(members.join(shared, place))
+    central = materialize(crowded.groupBy("cls").agg(F.sum("size").alias("central")))
+    crowded = materialize(crowded.drop("size").join(central, "cls"))
+    hubs = materialize(crowded.groupBy(*place).agg(F.max(F.struct("central", "cls", "n", *SKETCH)).alias("h")).select(
+        *place, F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), *[F.col(f"h.{c}").alias(f"hub{c}") for c in SKETCH]))
+    crowded = materialize(crowded.drop("central").join(hubs, place).withColumn("near_hub", near_sizes(rule, F.col("n"), F.col("hub_n")) & (
+        differing("", "hub") <= UNRELATED_BITS)).drop("hub_n", *[f"hub{c}" for c in SKETCH]))
     whole = rows.select(*KEY, text)
 
-    sketch = classes.select(F.col("cls").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("_s1").alias("hub_s1"), F.col("_s2").alias("hub_s2"))
-    spokes = materialize(crowded.filter("cls <> hub").select("cls", "hub", "n", "_s1", "_s2").distinct())
-    unlike = F.bit_count(F.col("_s1").bitwiseXOR(F.col("hub_s1"))) + F.bit_count(F.col("_s2").bitwiseXOR(F.col("hub_s2")))
-    first = materialize(
-        spokes.join(sketch, "hub").filter((unlike <= rule.unlike) & near_sizes(rule, F.col("n"), F.col("hub_n")))
-        .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
-    links = materialize(verify(first, classes, whole, text, rule))
+    first = materialize(crowded.filter("near_hub AND cls <> hub").select(
+        F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
+    compared = materialize(compare_sets(first, classes, whole, text, rule))
+    links = compared.filter("linked").select("a", "b")
     parts = materialize(components(links))
 
-    placed = materialize(crowded.drop("hub").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")))
-    sizes = placed.groupBy("band", "bucket", "component").agg(F.count("*").alias("members"))
-    biggest = sizes.groupBy("band", "bucket").agg(
+    far = compared.select(F.col("a").alias("cls"), F.col("b").alias("hub"), "distance").unionByName(
+        compared.select(F.col("b").alias("cls"), F.col("a").alias("hub"), "distance"))
+    placed = crowded.drop("near_hub").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls"))
+    placed = materialize(placed)
+    sizes = placed.groupBy(*place, "component").agg(F.count("*").alias("members"))
+    biggest = sizes.groupBy(*place).agg(
         F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    biggest = materialize(biggest.select("band", "bucket", F.col("top.component").alias("top")))
-    mixed = materialize(placed.join(biggest, ["band", "bucket"]))
-    minor = mixed.filter("component <> top").drop("top")
-    a, b = minor.alias("a"), mixed.drop("top").alias("b")
-    differ = F.bit_count(F.col("a._s1").bitwiseXOR(F.col("b._s1"))) + F.bit_count(F.col("a._s2").bitwiseXOR(F.col("b._s2")))
-    rest = a.join(b, [
+    biggest = materialize(biggest.select(*place, F.col("top.component").alias("top")))
+    mixed = materialize(placed.join(biggest, place))
+    mixed = materialize(mixed.join(materialize(far), ["cls", "hub"], "left").withColumn(
+        "distance", F.when(F.col("cls") == F.col("hub"), 0.0).otherwise(F.col("distance"))))
+    names = [f"_l{k}" for k in range(LONG_BITS // 64)]
+    fields = [T.StructField(name, T.LongType()) for name in names]
+    sketches = texts_of(mixed.select("cls").distinct(), classes, whole, text)
+    sketches = materialize(with_text_columns(sketches, text, fields, lambda texts: long_sketches(texts, rule)).drop(text))
+    mixed = materialize(mixed.drop(*SKETCH).join(sketches, "cls"))
+    unlike = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names), F.lit(0))
+    minor, others = mixed.filter("component <> top").alias("a"), mixed.alias("b")
+    apart = F.abs(F.col("a.distance") - F.col("b.distance")) > 1 - rule.least / rule.parts + 1e-9
+    rest = minor.join(others, [
         F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"), F.col("a.component") != F.col("b.component"),
-        near_sizes(rule, F.col("a.n"), F.col("b.n")), differ <= rule.unlike])
-    rest = rest.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
+        near_sizes(rule, F.col("a.n"), F.col("b.n")), unlike <= rule.most_differing(), ~F.coalesce(apart, F.lit(False)),
+        (F.col("b.component") == F.col("b.top")) | (F.col("a.cls") < F.col("b.cls"))])
+    rest = materialize(rest.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct())
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(verify(rest, classes, whole, text, rule))
+        links = links.unionByName(compare_sets(rest, classes, whole, text, rule).filter("linked").select("a", "b"))
 
     ids = classes.select("cls", "id")
     of_class = links.join(ids.select(F.col("cls").alias("a"), F.col("id").alias("ia")), "a").join(
         ids.select(F.col("cls").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     own = filled.join(classes.select(*prints, "id"), prints).select(F.col(doc_id).alias("a"), F.col("id").alias("b"))
     reached = components(of_class.unionByName(own))
-    out = known.drop("_bands", "_p1", "_p2", "_s1", "_s2", *KEY).join(reached, F.col(doc_id) == F.col("node"), "left")
+    out = known.drop("_bands", "_p1", "_p2", *SKETCH, *KEY).join(reached, F.col(doc_id) == F.col("node"), "left")
     component = F.coalesce("component", F.col(doc_id))
     return out.withColumn("component_id", component).withColumn(
         "kept", F.coalesce(F.col(doc_id) == component, F.lit(True))).drop("node", "component")
