@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelsieve.functions.control import bind
+
 
 def as_doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -15,9 +17,11 @@ def l2_norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Unit-length vector; an all-zero vector stays zero."""
-    norm = l2_norm(vector)
-    return F.when(norm > 0, F.transform(as_doubles(vector), lambda v: v / norm)).otherwise(as_doubles(vector))
+    """Unit-length vector; an all-zero vector stays zero. The norm is computed once for the vector."""
+    def scale(norm: Column) -> Column:
+        return F.when(norm > 0, F.transform(as_doubles(vector), lambda v: v / norm)).otherwise(as_doubles(vector))
+
+    return bind(l2_norm(vector), scale)
 
 
 def is_finite_number(value: Column) -> Column:

@@ -17,37 +17,34 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.functions.vectors import l2_normalize
+from labelsieve.functions.control import bind
+from labelsieve.functions.vectors import l2_norm, l2_normalize
 from labelsieve.operators.checks import union_all
 from labelsieve.operators.encode import class_weights, stratified_folds
 from labelsieve.schema import CENTROID_TEMPERATURE
 from labelsieve.session import materialize, small_table
 
 CENTROID_FLOOR = 1e-8
-MODEL_BYTES = 256 << 20
 
 
 def centroids(df: DataFrame, code: str, unit: str) -> DataFrame:
     """Unit-length mean of every class: (code, centroid). The sums combine on the map side."""
     means = df.groupBy(code).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(unit)))).alias("_mean"))
-    norm = F.sqrt(F.aggregate("_mean", F.lit(0.0), lambda total, v: total + v * v))
-    floor = F.greatest(norm, F.lit(CENTROID_FLOOR))
-    return means.select(code, F.transform("_mean", lambda v: v / floor).alias("centroid"))
+    length = F.greatest(l2_norm(F.col("_mean")), F.lit(CENTROID_FLOOR))
+    return means.select(code, bind(length, lambda floor: F.transform("_mean", lambda v: v / floor)).alias("centroid"))
 
 
 def centroid_matrix(df: DataFrame, code: str, unit: str, classes: int) -> np.ndarray:
-    """The centroids as a matrix in code order: a model of classes x width doubles, refused above MODEL_BYTES."""
+    """The centroids as a matrix in code order: a model of classes x width doubles."""
     width = len(df.select(unit).first()[0])
-    if classes * width * 8 > MODEL_BYTES:
-        raise ValueError("the centroid model of this many classes is too large; score groups of classes separately")
     matrix = np.zeros((classes, width))
     for row in centroids(df, code, unit).collect():
         matrix[row[code]] = row["centroid"]
     return matrix
 
 
-def with_centroid_probability(df: DataFrame, unit: str, matrix: np.ndarray, out: str = "probability") -> DataFrame:
-    """Softmax of 8 x cosine to every centroid, row by row in Arrow batches, no shuffle."""
+def with_centroid_probability(df: DataFrame, vector: str, matrix: np.ndarray, out: str = "probability") -> DataFrame:
+    """Softmax of 8 x cosine to every centroid, row by row in Arrow batches, no shuffle. A zero vector has cosine 0."""
 
     @F.pandas_udf("array<double>")
     def softmax(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -55,11 +52,13 @@ def with_centroid_probability(df: DataFrame, unit: str, matrix: np.ndarray, out:
             if not len(batch):
                 yield pd.Series([], dtype=object)
                 continue
-            logits = np.stack(list(batch)).astype(np.float64) @ matrix.T * CENTROID_TEMPERATURE
+            rows = np.stack(list(batch)).astype(np.float64)
+            length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+            logits = rows / np.where(length > 0, length, 1.0) @ matrix.T * CENTROID_TEMPERATURE
             logits = np.exp(logits - logits.max(axis=1, keepdims=True))
             yield pd.Series(list(logits / logits.sum(axis=1, keepdims=True)))
 
-    return df.withColumn(out, softmax(F.col(unit)))
+    return df.withColumn(out, softmax(F.col(vector)))
 
 
 def out_of_fold_probability(

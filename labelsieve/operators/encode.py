@@ -57,6 +57,8 @@ def class_weights(df: DataFrame, label: str, fold: str, folds: int) -> DataFrame
 
     One pass counts (fold, label); what a fold trains on is then "all minus the fold" on that small table.
     """
+    if folds < 1:
+        raise ValueError("at least one fold is needed")
     held = df.groupBy(fold, label).agg(F.count("*").alias("_held"))
     totals = held.groupBy(label).agg(F.sum("_held").alias("_n"))
     grid = totals.withColumn(fold, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))

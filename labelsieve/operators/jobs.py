@@ -74,7 +74,7 @@ def chunk_status(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def missing_chunks(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, chunk_index) still to be sent."""
-    wanted = jobs.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1)).alias("chunk_index"))
+    wanted = jobs.filter("chunk_count > 0").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1)).alias("chunk_index"))
     have = chunks.select(F.col("job_id").alias("id"), "chunk_index")
     return wanted.join(have, ["id", "chunk_index"], "left_anti")
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from labelsieve.functions.vectors import as_doubles
 from labelsieve.operators.checks import union_all
-from labelsieve.schema import APPROXIMATE_ABOVE, NEIGHBORS
+from labelsieve.schema import NEIGHBORS
 from labelsieve.session import materialize, small_table
 
 DECIMALS = 9  # distances are compared at this resolution, so summation order cannot reorder ties
@@ -29,6 +29,7 @@ PIVOT_LIMIT = 1 << 15
 PIVOT_BYTES = 64 << 20
 TABLE_CELLS = 1 << 24  # distance tables are made in slices of at most this many numbers
 SLACK = 1e-6
+APPROXIMATE_PROBES = 8
 CANDIDATES = "array<struct<distance:double,neighbor_id:bigint,neighbor_label:bigint>>"
 PACKED = "cell int, block int, rows int, keys binary, matrix binary, ids binary, labels binary, bound binary, cells array<int>"
 FOUND = "v1 bigint, v2 bigint, distance double, neighbor_id bigint, neighbor_label bigint"
@@ -262,11 +263,6 @@ def neighbor_lists(
     return union_all(parts).select("id", "code", "vec", F.slice(others, 1, k).alias("neighbors"))
 
 
-def choose_probes(items: int, approximate_above: int = APPROXIMATE_ABOVE, probes: int = 8) -> int | None:
-    """Exact up to the threshold, nearest-cell search above it."""
-    return None if items <= approximate_above else probes
-
-
 def neighbor_edges(lists: DataFrame) -> DataFrame:
     """(id, neighbor_id, neighbor_label, distance, rank), one row per neighbour."""
     return lists.select("id", F.posexplode("neighbors").alias("_at", "_n")).select(

@@ -13,6 +13,13 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in its low
 SEQUENCE_WIDTH = 1 << 20
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key is a value like any other; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = [left[key].eqNullSafe(renamed[f"_right_{key}"]) for key in keys]
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in keys])
+
+
 def ordered_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
     """1-based position in a total order.
 
@@ -40,11 +47,11 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> D
 def grouped_rank(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "rank"
 ) -> DataFrame:
-    """1-based position inside each group; a group may span any number of partitions."""
+    """1-based position inside each group, NULL being one; a group may span any number of partitions."""
     ranked = ordered_rank(df, [*[F.col(name).asc() for name in groups], *order], "_overall")
     firsts = ranked.groupBy(*groups).agg(F.min("_overall").alias("_first"))
     return (
-        ranked.join(firsts, list(groups))
+        join_null_safe(ranked, firsts, groups)
         .withColumn(out, F.col("_overall") - F.col("_first") + 1)
         .drop("_overall", "_first")
     )
@@ -56,7 +63,7 @@ def bucketed_rank(
     """1-based position inside each group when ``bucket`` is an order-preserving prefix of ``order``.
 
     Made for hash orders: the leading hash digits spread even one huge group evenly over the buckets, so each
-    window holds one bucket of one group. Group columns must not be NULL.
+    window holds one bucket of one group. NULL is a group too.
     """
     keys = [*groups, "_bucket"]
     keyed = df.withColumn("_bucket", bucket)
@@ -66,8 +73,7 @@ def bucketed_rank(
     )
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        keyed.withColumn("_local", local)
-        .join(starts, keys)
+        join_null_safe(keyed.withColumn("_local", local), starts, keys)
         .withColumn(out, (F.col("_start") + F.col("_local")).cast("long"))
         .drop("_bucket", "_start", "_local")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.operators.checks import (
@@ -86,11 +86,23 @@ def session_snapshot(items: DataFrame, session: Column) -> DataFrame:
 
 
 def save_snapshot(items: DataFrame, session: Column, path: str) -> None:
-    """Replace the stored snapshot of the sessions in ``items``, leaving other sessions alone."""
-    (session_snapshot(items, session).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Replace the stored snapshot of the sessions in ``items``, leaving other sessions alone.
+
+    A session without reviewed items keeps one row without an item, so that its earlier review state is replaced too.
+    """
+    kept = session_snapshot(items, session)
+    every = items.select(session.alias("session_key")).distinct()
+    empty = every.join(kept.select("session_key").distinct(), "session_key", "left_anti").select(
+        "session_key", *[F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in ("id", "label", "status")])
+    (kept.unionByName(empty).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("session_key").parquet(path))
 
 
+def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(session_key, id, label, status) of all stored sessions; an emptied one has no rows."""
+    return spark.read.parquet(path).filter("id IS NOT NULL")
+
+
 def apply_analysis(items: DataFrame, batch: DataFrame, classes: DataFrame, digest_required: bool = False) -> DataFrame:
     """Merge a complete result batch into the items; any violation rejects the whole batch."""
     require_clean(analysis_batch_violations(items, batch, classes, digest_required))
@@ -228,7 +240,7 @@ def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int
     columns = ["session_id", "seq", "op", "item_id", "label", "status"]
     ordered = rows.filter(F.col("seq") <= F.col("_last_reversal")).select(*columns)
     if items is not None:
-        start = items.select(
+        start = items.join(reversals.select("session_id"), "session_id", "left_semi").select(
             "session_id", F.lit(None).cast("long").alias("seq"), F.lit("start").alias("op"),
             "item_id", "label", "status",
         )

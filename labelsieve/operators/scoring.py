@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.functions.vectors import is_finite_number, l2_normalize
+from labelsieve.functions.control import bind
+from labelsieve.functions.vectors import has_non_finite, is_finite_number, l2_normalize
 from labelsieve.operators.classify import centroid_matrix, out_of_fold_probability, with_centroid_probability
 from labelsieve.operators.encode import class_codes, class_encode, class_summary
-from labelsieve.operators.neighbors import choose_probes, neighbor_lists
-from labelsieve.schema import APPROXIMATE_ABOVE, CLASSIFIER_WEIGHT, DISTANCE_OFFSET, NEIGHBOR_WEIGHT, NEIGHBORS
+from labelsieve.operators.neighbors import APPROXIMATE_PROBES, neighbor_lists
+from labelsieve.schema import CLASSIFIER_WEIGHT, DISTANCE_OFFSET, NEIGHBOR_WEIGHT, NEIGHBORS
 from labelsieve.session import materialize
 
 
@@ -19,18 +20,20 @@ def vote_weight(distance: Column) -> Column:
 
 def vote_shares(neighbors: Column, k: int = NEIGHBORS) -> Column:
     """Normalised vote of a neighbour list: array<struct<code,share>>, one entry per class that got votes."""
-    valid = F.slice(F.filter(neighbors, lambda n: is_finite_number(n["distance"])), 1, k)
-    total = F.aggregate(valid, F.lit(0.0), lambda sum_, n: sum_ + vote_weight(n["distance"]))
-    codes = F.array_sort(F.array_distinct(F.transform(valid, lambda n: n["neighbor_label"])))
-
-    def entry(code: Column) -> Column:
-        mass = F.aggregate(
-            F.filter(valid, lambda n: n["neighbor_label"] == code), F.lit(0.0),
-            lambda sum_, n: sum_ + vote_weight(n["distance"]),
-        )
-        return F.struct(code.alias("code"), (mass / F.greatest(total, F.lit(1e-8))).alias("share"))
+    def shares(valid: Column) -> Column:
+        total = F.aggregate(valid, F.lit(0.0), lambda sum_, n: sum_ + vote_weight(n["distance"]))
+        codes = F.array_sort(F.array_distinct(F.transform(valid, lambda n: n["neighbor_label"])))
+
+        def share(code: Column, whole: Column) -> Column:
+            mass = F.aggregate(
+                F.filter(valid, lambda n: n["neighbor_label"] == code), F.lit(0.0),
+                lambda sum_, n: sum_ + vote_weight(n["distance"]),
+            )
+            return F.struct(code.alias("code"), (mass / F.greatest(whole, F.lit(1e-8))).alias("share"))
+
+        return bind(total, lambda whole: F.transform(codes, lambda code: share(code, whole)))
 
-    return F.transform(codes, entry)
+    return bind(F.slice(F.filter(neighbors, lambda n: is_finite_number(n["distance"])), 1, k), shares)
 
 
 def share_of(shares: Column, code: Column) -> Column:
@@ -81,16 +84,33 @@ def score_rows(df: DataFrame) -> DataFrame:
     return judged.select("id", "code", score.alias("score"), "suggested_code", "confidence", "support")
 
 
+def scorable(df: DataFrame, item: str, label: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that can be scored, (item, reason) of the others): no label, no vector, a non-finite or missing value."""
+    vector = F.col(features)
+    gap = F.exists(vector, lambda v: v.isNull())
+    reason = (
+        F.when(F.col(label).isNull(), "no_label").when(vector.isNull() | (F.size(vector) == 0), "no_features")
+        .when(F.coalesce(gap | has_non_finite(vector), F.lit(True)), "non_finite_feature"))
+    judged = df.withColumn("_reason", reason)
+    return judged.filter("_reason IS NULL").drop("_reason"), judged.filter("_reason IS NOT NULL").select(
+        F.col(item).alias("item"), F.col("_reason").alias("reason"))
+
+
 def suspicion_scores(
     df: DataFrame, item: str, label: str, features: str, classifier: str = "auto",
-    approximate_above: int = APPROXIMATE_ABOVE, **classifier_options,
+    neighbors: str = "exact", probes: int = APPROXIMATE_PROBES, **classifier_options,
 ) -> DataFrame:
     """The whole scoring of a labelled feature table.
 
     Returns (id, label, score, suggested_label, confidence, support), written out, because a sort or a report would
     otherwise run the scoring twice. ``classifier`` is ``logreg``, ``centroid`` or ``auto``: logistic regression when
-    there are at least two classes with at least two members each.
+    there are at least two classes with at least two members each. ``neighbors`` is ``exact``, at every size, or
+    ``approximate``: then only the cells of the ``probes`` nearest pivots are searched. Rows that ``scorable`` sets aside
+    are not scored and influence no other row.
     """
+    if neighbors not in ("exact", "approximate"):
+        raise ValueError("neighbors must be 'exact' or 'approximate'")
+    df, _ = scorable(df, item, label, features)
     codes = class_codes(df, label)
     summary = class_summary(codes).first()
     if classifier == "auto":
@@ -98,11 +118,11 @@ def suspicion_scores(
     encoded = class_encode(df, label, codes).select(
         F.col(item).cast("long").alias("id"), "code", F.col(features).alias("vec")
     )
-    lists = neighbor_lists(encoded, "id", "vec", "code", probes=choose_probes(summary["items"], approximate_above))
+    lists = neighbor_lists(encoded, "id", "vec", "code", probes=probes if neighbors == "approximate" else None)
     if classifier == "centroid":
         unit = encoded.withColumn("unit", l2_normalize(F.col("vec")))
         matrix = centroid_matrix(unit, "code", "unit", summary.classes)
-        rows = with_centroid_probability(lists.withColumn("unit", l2_normalize(F.col("vec"))), "unit", matrix)
+        rows = with_centroid_probability(lists, "vec", matrix)
     else:
         predicted = out_of_fold_probability(
             encoded, "id", "code", "vec", summary.classes, summary.folds, **classifier_options

@@ -108,7 +108,7 @@ def centroid_softmax(spark, d):
     encoded, codes = _encoded(spark, d)
     unit = encoded.withColumn("unit", l2_normalize(F.col("vec")))
     matrix = classify.centroid_matrix(unit, "code", "unit", codes.count())
-    rows = classify.with_centroid_probability(unit, "unit", matrix)
+    rows = classify.with_centroid_probability(encoded, "vec", matrix)
     return rows.select("id", F.posexplode("probability").alias("code", "p")).select(
         "id", F.col("code").cast("long").alias("code"), r6("p").alias("p"))
 

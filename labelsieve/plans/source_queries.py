@@ -443,4 +443,17 @@ def snapshot_store(spark, d):
     items = views.queue_items(spark, d)
     review.save_snapshot(items, F.col("session"), path)
     review.save_snapshot(items.filter("session = 'left'"), F.col("session"), path)
-    return spark.read.parquet(path).select("session_key", "id", "label", "status")
+    return review.load_snapshot(spark, path).select("session_key", "id", "label", "status")
+
+
+@query("""
+SELECT session AS session_key, id, label, status FROM qi WHERE (label <> original_label OR status <> 'pending') AND session <> 'left'
+""", (sql.QUEUE_ITEMS,))
+def snapshot_clears(spark, d):
+    """A session whose reviews were all undone is saved again: nothing of its earlier snapshot comes back."""
+    path = _work(spark, "sessions")
+    items = views.queue_items(spark, d)
+    review.save_snapshot(items, F.col("session"), path)
+    undone = items.filter("session = 'left'").withColumns({"label": F.col("original_label"), "status": F.lit("pending")})
+    review.save_snapshot(undone, F.col("session"), path)
+    return review.load_snapshot(spark, path).select("session_key", "id", "label", "status")

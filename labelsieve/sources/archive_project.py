@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.operators.checks import union_all, violation
-from labelsieve.schema import MAX_MANIFEST_BYTES, MAX_TOTAL_MANIFEST_BYTES
 from labelsieve.sources import json_project
 from labelsieve.sources.guards import json_problem
 from labelsieve.session import materialize
@@ -23,11 +22,11 @@ ENTRIES = (
 )
 
 
-def _entry_rows(source: str, content: bytes) -> Iterator[dict]:
+def _entry_rows(source: str, content: bytes, max_manifest: int | None) -> Iterator[dict]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for position, info in enumerate(archive.infolist()):
             data = b"" if info.is_dir() else archive.read(info)
-            is_json = info.filename.lower().endswith(".json") and info.file_size <= MAX_MANIFEST_BYTES
+            is_json = info.filename.lower().endswith(".json") and (max_manifest is None or info.file_size <= max_manifest)
             try:
                 text = data.decode("utf-8-sig") if is_json else None
             except UnicodeDecodeError:
@@ -41,11 +40,11 @@ def _entry_rows(source: str, content: bytes) -> Iterator[dict]:
             }
 
 
-def list_entries(archives: DataFrame) -> DataFrame:
+def list_entries(archives: DataFrame, max_manifest: int | None = None) -> DataFrame:
     """Entries of archives (source_file, content). Archives are read side by side, each by one task.
 
     The listing is written out, because the checks look at it several times and must not unpack again. A file that is
-    no archive gives one row without an entry name.
+    no archive gives one row without an entry name. JSON entries of more than ``max_manifest`` bytes, if given, are not read.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +52,7 @@ def list_entries(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for source, content in zip(batch["source_file"], batch["content"]):
                 try:
-                    rows = list(_entry_rows(source, bytes(content)))
+                    rows = list(_entry_rows(source, bytes(content), max_manifest))
                 except (zipfile.BadZipFile, OSError, RuntimeError):
                     rows = [dict.fromkeys(columns) | {"source_file": source}]
                 yield pd.DataFrame(rows, columns=columns)
@@ -61,8 +60,8 @@ def list_entries(archives: DataFrame) -> DataFrame:
     return materialize(archives.select("source_file", "content").mapInPandas(read, ENTRIES))
 
 
-def archive_violations(entries: DataFrame) -> DataFrame:
-    """Unreadable archives, repeated names, directories with data, no manifest or several, too much JSON."""
+def archive_violations(entries: DataFrame, max_json: int | None = None) -> DataFrame:
+    """Unreadable archives, repeated names, directories with data, no manifest or several, more than ``max_json`` bytes of JSON."""
     name = F.col("entry")
     candidate = F.col("text").isNotNull()
     repeated = entries.filter(~F.col("is_dir")).groupBy("source_file", "entry").agg(F.count("*").alias("_n")).filter("_n > 1")
@@ -70,13 +69,14 @@ def archive_violations(entries: DataFrame) -> DataFrame:
         F.count_if(is_manifest()).alias("_manifests"), F.count("entry").alias("_entries"),
         F.sum(F.when(candidate, F.col("size")).otherwise(0)).alias("_json"),
     ).filter("_entries > 0")
+    too_large = F.lit(False) if max_json is None else F.col("_json") > max_json
     return union_all([
         violation(entries.filter(name.isNull()), "not_an_archive", F.col("source_file"), F.lit("")),
         violation(repeated, "duplicate_entry", F.col("source_file"), name),
         violation(entries.filter(F.col("is_dir") & (F.col("size") > 0)), "directory_with_data", F.col("source_file"), name),
         violation(totals.filter("_manifests = 0"), "no_manifest", F.col("source_file"), F.lit("")),
         violation(totals.filter("_manifests > 1"), "several_manifests", F.col("source_file"), F.col("_manifests")),
-        violation(totals.filter(F.col("_json") > MAX_TOTAL_MANIFEST_BYTES), "manifests_too_large", F.col("source_file"), F.col("_json")),
+        violation(totals.filter(too_large), "manifests_too_large", F.col("source_file"), F.col("_json")),
     ])
 
 

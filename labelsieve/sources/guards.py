@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelsieve.functions.control import with_column_once
 from labelsieve.schema import MAX_PROJECT_BYTES
 
-_STRING_LITERAL = r'"(?:\\.|[^"\\])*"'
+_STRING_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # beyond the range of a double a number needs a three-digit exponent or hundreds of digits
 _MAY_OVERFLOW = "[0-9.][eE][+]?[0-9]{3}|[0-9]{200}"
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
