@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL AND u > v").distinct())
+    mark = fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -24,10 +25,15 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large.distinct())
         down = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if same:
+        edges = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        before, mark = mark, fingerprint(edges)
+        if mark == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Number of distinct edges and two sums of their hashes: equal for equal sets."""
+    hashes = [F.xxhash64(F.lit(salt), "u", "v").cast("decimal(20,0)") for salt in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *[F.sum(h) for h in hashes]).first())
