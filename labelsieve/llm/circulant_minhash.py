@@ -244,14 +244,16 @@ def near_duplicates(docs: DataFrame, text: str, doc_id: str, rule: Rule = CLOSE)
     fields = [T.StructField(name, T.LongType()) for name in names]
     sketches = texts_of(mixed.select("cls").distinct(), classes, whole, text)
     sketches = materialize(with_text_columns(sketches, text, fields, lambda texts: long_sketches(texts, rule)).drop(text))
-    mixed = materialize(mixed.drop(*SKETCH).join(sketches, "cls"))
+    mixed = materialize(mixed.drop(*SKETCH).join(sketches, "cls").join(classes.select("cls", "_bands"), "cls"))
+    earlier = F.exists(F.zip_with(  # a pair is compared in the first bucket that it shares
+        F.slice("a._bands", F.lit(1), F.col("a.band")), F.slice("b._bands", F.lit(1), F.col("a.band")), lambda x, y: x == y), lambda e: e)
     unlike = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names), F.lit(0))
     minor, others = mixed.filter("component <> top").alias("a"), mixed.alias("b")
     apart = F.abs(F.col("a.distance") - F.col("b.distance")) > 1 - rule.least / rule.parts + 1e-9
     rest = minor.join(others, [
         F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"), F.col("a.component") != F.col("b.component"),
         near_sizes(rule, F.col("a.n"), F.col("b.n")), unlike <= rule.most_differing(), ~F.coalesce(apart, F.lit(False)),
-        (F.col("b.component") == F.col("b.top")) | (F.col("a.cls") < F.col("b.cls"))])
+        (F.col("b.component") == F.col("b.top")) | (F.col("a.cls") < F.col("b.cls")), ~earlier])
     rest = materialize(rest.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct())
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
