@@ -14,7 +14,7 @@ from labelsieve.plans.catalog import QUERIES  # noqa: E402
 from labelsieve.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "review_queue_centroid", "review_queue_logreg", "knn_cosine_exact", "knn_vote", "centroid_softmax", "oof_logreg",
+    "review_queue_centroid", "review_queue_logreg", "knn_cosine_exact", "knn_cosine_approximate", "knn_vote", "noise_detection", "centroid_softmax", "oof_logreg",
     "project_2d_pca", "stratified_folds", "embed_documents", "input_snapshot", "analysis_fingerprint",
     "json_project_scan", "xml_project_scan", "archive_scan", "analysis_batch_check", "target_path_collision",
     "effective_updates", "undo_redo_fold", "review_stream", "stale_invalidation", "queue_rank", "queue_top", "queue_neighbors",

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.operators.checks import union_all, violation
+from labelsieve.operators.checks import identity_conflicts, union_all, violation
 from labelsieve.sources import json_project
 from labelsieve.sources.guards import json_problem
 from labelsieve.session import materialize
@@ -109,5 +109,15 @@ def read_archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return files.select(F.col("path").alias("source_file"), "content")
 
 
+def checked_archives(spark: SparkSession, path: str, glob: str) -> tuple[DataFrame, DataFrame]:
+    """(items, violations (rule, item, detail)): broken archives, and what is wrong in the projects of the others."""
+    entries = list_entries(read_archives(spark, path, glob))
+    parsed, rejected = json_project.parse_projects(manifests(entries).select("source_file", "text"))
+    return archive_items(entries), union_all([
+        archive_violations(entries), violation(rejected, "rejected_project", F.col("source_file"), F.col("reason")),
+        json_project.item_violations(json_project.flatten_projects(parsed)),
+        identity_conflicts(json_project.class_declarations(parsed))])
+
+
 def load_archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return archive_items(list_entries(read_archives(spark, path, glob)))
+    return checked_archives(spark, path, glob)[0]

@@ -61,5 +61,11 @@ def folder_items(files: DataFrame, classes: Sequence[str] | None = None) -> Data
     ))
 
 
+def checked_folder(spark: SparkSession, root: str, classes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, violations (rule, item, detail))."""
+    files = list_files(spark, root)
+    return folder_items(files, classes), folder_violations(files)
+
+
 def load_folder(spark: SparkSession, root: str, classes: Sequence[str] | None = None) -> DataFrame:
     return folder_items(list_files(spark, root), classes)

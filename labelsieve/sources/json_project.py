@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelsieve.functions.control import bind, with_column_once
 from labelsieve.functions.geometry import box_of_extent, box_of_points, contour_polygons
 from labelsieve.functions.vectors import is_finite_number
-from labelsieve.operators.checks import row_violations
+from labelsieve.operators.checks import identity_conflicts, row_violations, union_all, violation
 from labelsieve.schema import EMPTY_PROJECT_CLASS, IMAGE_LEVEL_TYPES, OCR_FALLBACK_CLASS
 from labelsieve.sources.common import canonical_items, read_texts
 from labelsieve.sources.guards import json_problem
@@ -202,6 +202,14 @@ def project_items(flat: DataFrame, source_prefix: str = "json-project") -> DataF
     return canonical_items(typed, box, F.col("_contours"), bag)
 
 
+def checked_json_projects(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(items, violations (rule, item, detail)): rejected files, items that break a rule, conflicting classes."""
+    parsed, rejected = parse_projects(read_texts(spark, path, glob))
+    flat = flatten_projects(parsed)
+    return project_items(flat), union_all([
+        violation(rejected, "rejected_project", F.col("source_file"), F.col("reason")),
+        item_violations(flat), identity_conflicts(class_declarations(parsed))])
+
+
 def load_json_projects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    parsed, _ = parse_projects(read_texts(spark, path, glob))
-    return project_items(flatten_projects(parsed))
+    return checked_json_projects(spark, path, glob)[0]

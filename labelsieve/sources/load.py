@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.functions.geometry import BOX, POLYGONS
-from labelsieve.sources.archive_project import load_archives
+from labelsieve.operators.checks import require_clean, violation
+from labelsieve.sources.archive_project import checked_archives
 from labelsieve.sources.common import canonical_items
-from labelsieve.sources.folder import load_folder
-from labelsieve.sources.json_project import load_json_projects
-from labelsieve.sources.xml_project import load_xml_projects
+from labelsieve.sources.folder import checked_folder
+from labelsieve.sources.guards import oversized
+from labelsieve.sources.json_project import checked_json_projects
+from labelsieve.sources.xml_project import checked_xml_projects
 
 # fixed values: file extensions of the project formats
 FORMATS = {".srproj": "xml", ".json": "json", ".visionproj": "archive"}
 
 
-def load_items(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Items of one project, or of a directory of many projects of one format.
+def load_checked(
+    spark: SparkSession, path: str, fmt: str | None = None, max_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(items, violations (rule, item, detail)) of one project, or of a directory of many projects of one format.
 
     ``fmt`` is folder, xml, json or archive; by default it follows from the extension, and a path without one is a
-    labelled folder.
+    labelled folder. A file that is no project gives a violation and no items; so does, with ``max_bytes``, a larger one
+    give a violation.
     """
     extension = next((e for e in FORMATS if path.lower().endswith(e)), None)
     kind = fmt or (FORMATS[extension] if extension else None)
@@ -29,10 +34,25 @@ def load_items(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
             raise ValueError(f"unknown project format: {path}")
         kind = "folder"
     if kind == "folder":
-        return load_folder(spark, path)
-    loader = {"xml": load_xml_projects, "json": load_json_projects, "archive": load_archives}[kind]
-    suffix = next(e for e, name in FORMATS.items() if name == kind)
-    return loader(spark, path, f"*{suffix}")
+        return checked_folder(spark, path)
+    loader = {"xml": checked_xml_projects, "json": checked_json_projects, "archive": checked_archives}[kind]
+    glob = "*" + next(e for e, name in FORMATS.items() if name == kind)
+    items, violations = loader(spark, path, glob)
+    if max_bytes is not None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+        large = oversized(files.select(F.col("path").alias("source_file"), "length"), max_bytes)
+        violations = violations.unionByName(violation(large, "too_large", F.col("source_file"), F.col("length")))
+    return items, violations
+
+
+def load_items(
+    spark: SparkSession, path: str, fmt: str | None = None, strict: bool = False, max_bytes: int | None = None,
+) -> DataFrame:
+    """The items of ``load_checked``; with ``strict`` any violation fails the load."""
+    items, violations = load_checked(spark, path, fmt, max_bytes)
+    if strict:
+        require_clean(violations)
+    return items
 
 
 def demo_items(spark: SparkSession) -> DataFrame:

@@ -61,3 +61,24 @@ def test_undone_reviews_do_not_come_back(spark, tmp_path):
     undone = items.filter("session = 's'").withColumns({"label": F.col("original_label"), "status": F.lit("pending")})
     review.save_snapshot(undone, F.col("session"), str(tmp_path / "store"))
     assert [r.session_key for r in review.load_snapshot(spark, str(tmp_path / "store")).collect()] == ["t"]
+
+
+def test_loaders_report_and_refuse_broken_projects(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from labelsieve.operators.checks import ViolationError
+    from labelsieve.sources.load import load_checked, load_items
+    good = {"project": {"projectName": "p", "projectType": "det", "classInfos": [{"className": "a", "classId": 1, "classColor": "x"}], "projectFiles": [
+        {"filePath": "1.jpg", "labelDataList": [{"className": "a", "classId": 1, "labelPosX": 1, "labelPosY": 1, "labelWidth": 2, "labelHeight": 2}]}]}}
+    other = json.loads(json.dumps(good))
+    other["project"]["projectFiles"][0]["labelDataList"][0]["className"] = "unknown"
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    assert load_items(spark, str(tmp_path), "json", strict=True).count() == 1
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    items, violations = load_checked(spark, str(tmp_path), "json", max_bytes=200)
+    assert {"rejected_project", "undeclared_class", "too_large"} <= {r.rule for r in violations.collect()} and items.count() == 2
+    with pytest.raises(ViolationError):
+        load_items(spark, str(tmp_path), "json", strict=True)
