@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.functions.text import item_hash, matches_search
 from labelsieve.functions.vectors import is_finite_number
-from labelsieve.operators.ranking import bucketed_rank, ordered_rank
+from labelsieve.operators.ranking import join_null_safe, ordered_rank
 from labelsieve.schema import MAX_RESULT_PAGE, PLOT_LIMIT, QUEUE_LIMIT
 from labelsieve.session import materialize, small_table
 
@@ -203,17 +203,20 @@ def sample_quotas(groups: DataFrame, limit: int) -> DataFrame:
 def plot_sample(items: DataFrame, limit: int = PLOT_LIMIT) -> DataFrame:
     """At most ``limit`` items, stratified by (label, status); inside a stratum the lowest hashes win.
 
-    The choice depends only on ids and paths, so it is stable. Ranks are taken per leading hash bits: a stratum with
-    most of the rows is spread over many windows.
+    The choice depends only on ids and paths, so it is stable. Rows are counted by the leading bits of their hash; only
+    those in the few buckets that a stratum's quota reaches are ranked, bucket by bucket.
     """
-    groups = items.groupBy("label", "status").agg(F.count("*").alias("n"))
-    quotas = small_table(sample_quotas(groups, limit))
-    hashed = items.withColumn("hash", item_hash(F.col("id"), F.col("relative_path")))
-    ranked = bucketed_rank(
-        hashed, ["label", "status"], F.shiftright("hash", 20), [F.col("hash").asc(), F.col("id").asc()], "_rank"
-    )
-    chosen = ranked.join(quotas.select("label", "status", "quota"), ["label", "status"]).filter("_rank <= quota")
-    return chosen.drop("_rank", "quota").orderBy("hash", "id").limit(limit)
+    stratum = ["label", "status"]
+    hashed = items.withColumn("hash", item_hash(F.col("id"), F.col("relative_path"))).withColumn("_bucket", F.shiftright("hash", 20))
+    sizes = materialize(hashed.groupBy(*stratum, "_bucket").agg(F.count("*").alias("_size")))
+    quotas = small_table(sample_quotas(sizes.groupBy(*stratum).agg(F.sum("_size").alias("n")), limit))
+    before = Window.partitionBy(*stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*stratum, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    needed = small_table(join_null_safe(starts, quotas.select(*stratum, "quota"), stratum).filter("_start < quota"))
+    inside = F.row_number().over(Window.partitionBy(*stratum, "_bucket").orderBy("hash", "id"))
+    chosen = join_null_safe(hashed, needed, [*stratum, "_bucket"]).withColumn("_local", inside)
+    chosen = chosen.filter(F.col("_start") + F.col("_local") <= F.col("quota"))
+    return chosen.drop("_bucket", "_start", "_local", "quota").orderBy("hash", "id").limit(limit)
 
 
 def with_selected(sample: DataFrame, selected: DataFrame) -> DataFrame:
