@@ -67,13 +67,14 @@ def class_index_bounds(labels: DataFrame, index_text: str, class_count: Column |
     )
 
 
-def identity_conflicts(declarations: DataFrame) -> DataFrame:
-    """One name with several ids or colours, or one id with several names, inside a project where ``source_file`` is given."""
-    project = [c for c in declarations.columns if c == "source_file"]
-    by_name = declarations.groupBy(*project, "class_name").agg(
+def identity_conflicts(declarations: DataFrame, project: str | None = None) -> DataFrame:
+    """One name with several ids or colours, or one id with several names: inside one project where ``project`` names the
+    column that tells projects apart, otherwise over all declarations."""
+    keys = [project] if project else []
+    by_name = declarations.groupBy(*keys, "class_name").agg(
         F.count_distinct("class_id").alias("ids"), F.count_distinct("class_color").alias("colors")
     )
-    by_id = declarations.filter(F.col("class_id").isNotNull()).groupBy(*project, "class_id").agg(
+    by_id = declarations.filter(F.col("class_id").isNotNull()).groupBy(*keys, "class_id").agg(
         F.count_distinct("class_name").alias("names")
     )
     return union_all([

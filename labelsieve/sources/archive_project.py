@@ -116,7 +116,7 @@ def checked_archives(spark: SparkSession, path: str, glob: str) -> tuple[DataFra
     return archive_items(entries), union_all([
         archive_violations(entries), violation(rejected, "rejected_project", F.col("source_file"), F.col("reason")),
         json_project.item_violations(json_project.flatten_projects(parsed)),
-        identity_conflicts(json_project.class_declarations(parsed))])
+        identity_conflicts(json_project.class_declarations(parsed), "source_file")])
 
 
 def load_archives(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -208,7 +208,7 @@ def checked_json_projects(spark: SparkSession, path: str, glob: str = "*.json")
     flat = flatten_projects(parsed)
     return project_items(flat), union_all([
         violation(rejected, "rejected_project", F.col("source_file"), F.col("reason")),
-        item_violations(flat), identity_conflicts(class_declarations(parsed))])
+        item_violations(flat), identity_conflicts(class_declarations(parsed), "source_file")])
 
 
 def load_json_projects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:

@@ -50,8 +50,8 @@ def test_jobs_without_chunks_miss_none(spark):
 def test_identity_conflicts_stay_inside_a_project(spark):
     rows = [("p", "cat", "1", "red"), ("q", "cat", "2", "blue"), ("q", "dog", "1", "red")]
     declared = spark.createDataFrame(rows, "source_file string, class_name string, class_id string, class_color string")
-    assert checks.identity_conflicts(declared).count() == 0
-    assert checks.identity_conflicts(declared.drop("source_file")).count() == 3
+    assert checks.identity_conflicts(declared, "source_file").count() == 0
+    assert checks.identity_conflicts(declared).count() == 3
 
 
 def test_undone_reviews_do_not_come_back(spark, tmp_path):
