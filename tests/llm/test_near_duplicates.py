@@ -116,3 +116,17 @@ def test_vectors_equal_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert got[None].component_id is None and got[None].kept
     assert flat_graph.near_duplicates(frame.limit(0), "vec_id", "embedding", "label").collect() == []
+
+
+def test_split_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "MOST_PIVOTS", 2)  # one label has two pivots, the other none; the shards of both are split
+    generator = np.random.default_rng(11)
+    rows = []
+    for label in range(2):
+        for _ in range(200):
+            centre = generator.normal(size=16)
+            rows += [(len(rows) + k, [float(v) for v in centre + generator.normal(0, 0.04, 16)], label) for k in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    classes = flat_graph.usable_vectors(frame, "vec_id", "embedding", "label")
+    links = flat_graph.find_links(classes, shard_rows=30)
+    assert flat_graph.audit_recall(classes, links, every=1) >= 0.97
