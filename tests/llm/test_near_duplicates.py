@@ -130,3 +130,16 @@ def test_split_shards_equal_brute_force(spark, monkeypatch):
     classes = flat_graph.usable_vectors(frame, "vec_id", "embedding", "label")
     links = flat_graph.find_links(classes, shard_rows=30)
     assert flat_graph.audit_recall(classes, links, every=1) >= 0.97
+
+
+def test_large_groups_are_reached(spark, monkeypatch):
+    generator = np.random.default_rng(12)
+    rows = []
+    for _ in range(6):  # more near copies than a vector has candidates, and nothing between the groups
+        centre = generator.normal(size=64)
+        rows += [(len(rows) + k, [float(v) for v in centre + generator.normal(0, 0.07, 64)], 0) for k in range(80)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    classes = flat_graph.usable_vectors(frame, "vec_id", "embedding", "label")
+    assert flat_graph.audit_recall(classes, flat_graph.find_links(classes), every=1) == 1.0
+    monkeypatch.setattr(flat_graph, "MOST_PIVOTS", 0)  # without pivots, one shard in eight parts
+    assert flat_graph.audit_recall(classes, flat_graph.find_links(classes, shard_rows=15), every=1) == 1.0
