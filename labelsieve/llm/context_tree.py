@@ -6,6 +6,7 @@ Counts of byte n-grams are gathered from all training texts. In each context and
 of the counts is weighted against the product of the longer contexts, from the longest up; the resulting weights mix the
 estimates of all depths into one probability for each byte. What a context has never been followed by shares the
 probability that the context leaves over, in proportion to the next shorter context; a context never met adds nothing.
+Scoring sends a table of frequent n-grams to the tasks; n-grams that are not in it meet the whole table in a join.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from labelsieve.llm.blocks import Block, Words, by_row, find_words, text_blocks,
 from labelsieve.session import materialize
 
 DEPTH = 5
-MOST_GRAMS = 3_000_000
+MOST_GRAMS = 3_000_000  # sent to the tasks; the others are joined
 END, SPACE = 10, 32
 _LOG_PI = float(np.log(np.pi))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -210,7 +211,7 @@ def table_rows(levels: dict[int, Level], deepest: int, upper: Upper) -> Iterator
         room = np.maximum(1 - np.bincount(at, weights=np.exp(less)), 1e-12)
         yield pd.DataFrame({
             "depth": depth, "gram": np.concatenate([level.grams, -1 - distinct]),
-            "value": np.concatenate([value, np.log(left) - np.log(room)]) / np.log(10), "size": np.concatenate([size[at], size])})
+            "value": np.concatenate([value, np.log(left) - np.log(room)]) / np.log(10), "size": np.concatenate([level.counts, size])})
         shorter = value
 
 
@@ -261,20 +262,25 @@ class Slots:
 
 @dataclass
 class ContextTree:
-    """Scoring tables: by depth, grams and what contexts leave over; all bytes after each single byte."""
+    """Scoring tables: by depth, grams and what contexts leave over; all bytes after each single byte.
+
+    If ``whole`` is None they are complete; else ``grams`` holds frequent grams of the full depth alone and ``whole`` (near,
+    depth, gram, value) everything, ``near`` being the two nearest bytes.
+    """
 
     depth: int
     single: np.ndarray
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
     left: dict[int, tuple[np.ndarray, np.ndarray]]
+    whole: DataFrame | None = None
 
 
 def fit(texts: DataFrame, text: str, depth: int = DEPTH, most_grams: int = MOST_GRAMS) -> ContextTree:
     """Learn from all texts.
 
-    The table that scoring sends to the tasks holds at most ``most_grams`` entries: if there are more, contexts that
-    occurred least often are left out of it (by powers of two) and shorter ones stand in for them, with weights from all
-    the data. An empty training table gives every byte the same probability. ``depth`` is 2 to 6.
+    The table that scoring sends to the tasks holds at most ``most_grams`` entries: if there are more, it holds the grams of
+    the full depth that occurred most often (by powers of two), and ``score`` joins the others, so scores do not depend on
+    the bound. An empty training table gives every byte the same probability. ``depth`` is 2 to 6.
     """
     grams = materialize(count_grams(texts, text, depth))
     spark = grams.sparkSession
@@ -294,17 +300,23 @@ def fit(texts: DataFrame, text: str, depth: int = DEPTH, most_grams: int = MOST_
         return pd.concat(list(table_rows(levels, depth, Upper(*sent.value))))
 
     rows = materialize(keyed.groupBy("context").applyInPandas(tabulate, "depth int, gram long, value double, size double"))
-    sizes = rows.groupBy(F.floor(F.log2("size")).alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect()
-    least, total = 0.0, 0
-    for row in sizes:
-        total += row.n
-        if total > most_grams:
-            least = 2.0 ** (row.power + 1)
-            break
-    table = rows.filter(F.col("size") >= least).select("depth", "gram", F.col("value").cast("float").alias("value")).toArrow()
+    table, whole = rows, None
+    if rows.count() > most_grams:
+        context = F.when(F.col("gram") >= 0, F.shiftright("gram", 8)).otherwise(-1 - F.col("gram"))
+        whole = rows.select(context.bitwiseAND(0xFFFF).alias("near"), "depth", "gram", F.col("value").cast("float").alias("value"))
+        full = rows.filter((F.col("depth") == depth) & (F.col("gram") >= 0))
+        sizes = full.groupBy(F.floor(F.log2("size")).alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect()
+        least, total = 0.0, 0
+        for row in sizes:
+            total += row.n
+            if total > most_grams:
+                least = 2.0 ** (row.power + 1)
+                break
+        table = full.filter(F.col("size") >= least)
+    table = table.select("depth", "gram", F.col("value").cast("float").alias("value")).toArrow()
     deep, keys, values = (table[name].to_numpy() for name in ("depth", "gram", "value"))
     every = np.arange(65536, dtype=np.int64)
-    model = ContextTree(depth, (sum_one_byte(upper, every) / np.log(10)).astype(np.float32), {}, {})
+    model = ContextTree(depth, (sum_one_byte(upper, every) / np.log(10)).astype(np.float32), {}, {}, whole)
     for d in range(2, depth + 1):
         mine = (deep == d) & (keys >= 0)
         model.grams[d] = keys[mine], values[mine]
@@ -344,16 +356,48 @@ def log_probabilities(grams: np.ndarray, tables: tuple) -> np.ndarray:
     return value
 
 
-def score_texts(texts: pa.Array, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability, modelled bytes) of every text."""
-    score, size = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+def score_texts(texts: pa.Array, tables: tuple, complete: bool = True) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """(log10 probability, modelled bytes) of every text, and by block (row, gram, times) of what is not in the tables."""
+    score, size, rest = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), []
     for block in text_blocks(texts):
         data, bounds = canonical_bytes(block, find_words(block))
-        values = log_probabilities(grams_of(data, bounds, tables[0]), tables)
-        rows = slice(block.first, block.last)
+        grams, rows = grams_of(data, bounds, tables[0]), slice(block.first, block.last)
+        if complete:
+            values = log_probabilities(grams, tables)
+        else:
+            values, found = tables[2][tables[0]].find(grams)
+            at = np.flatnonzero(~found)
+            missed, row = grams[at], np.searchsorted(bounds, at, side="right") - 1
+            order = np.lexsort((missed, row))
+            missed, row = missed[order], row[order]
+            new = np.ones(len(missed), dtype=bool)
+            new[1:] = (missed[1:] != missed[:-1]) | (row[1:] != row[:-1])
+            begins = np.flatnonzero(new)
+            rest.append((block.first + row[begins], missed[begins], np.diff(np.append(begins, len(missed))).astype(np.int32)))
         score[rows] = by_row(values.astype(np.float64), bounds)
         size[rows] = np.diff(bounds)
-    return score, size
+    return score, size, rest
+
+
+def resolve(asked: DataFrame, model: ContextTree) -> DataFrame:
+    """(gram, value): log10 of the byte of each asked gram, from the whole table."""
+    sent, depth = asked.sparkSession.sparkContext.broadcast(model.single), model.depth
+
+    def look_up(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks):
+            return pd.DataFrame({"gram": np.zeros(0, dtype=np.int64), "value": np.zeros(0)})
+        deep, keys, values = (table[name].to_numpy() for name in ("depth", "gram", "value"))
+        grams, left = {}, {}
+        for d in range(2, depth + 1):
+            mine = (deep == d) & (keys >= 0)
+            grams[d] = Slots(keys[mine], values[mine])
+            mine = (deep == d) & (keys < 0)
+            left[d] = Slots(-1 - keys[mine], values[mine])
+        gram = asks["gram"].to_numpy()
+        return pd.DataFrame({"gram": gram, "value": log_probabilities(gram, (depth, sent.value, grams, left)).astype(np.float64)})
+
+    keyed = asked.select("gram").distinct().withColumn("near", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    return keyed.groupBy("near").cogroup(model.whole.groupBy("near")).applyInPandas(look_up, "gram long, value double")
 
 
 def score(df: DataFrame, text: str, model: ContextTree) -> DataFrame:
@@ -364,9 +408,27 @@ def score(df: DataFrame, text: str, model: ContextTree) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast((model.depth, model.single, model.grams, model.left))
     name = uuid.uuid4().hex
 
+    complete = model.whole is None
+
     def compute(texts: pa.Array) -> list[pa.Array]:
-        values, size = score_texts(texts, scorer(name, sent))
-        return [pa.array(values), pa.array(size), pa.array(-values / np.log10(2) / size)]
+        values, size, rest = score_texts(texts, scorer(name, sent), complete)
+        out = [pa.array(values), pa.array(size), pa.array(-values / np.log10(2) / size)]
+        if complete:
+            return out
+        none = np.zeros(0, dtype=np.int64)
+        row, gram, times = (np.concatenate([none, *part]) for part in (zip(*rest) if rest else ([none],) * 3))
+        bounds = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+        return [*out, pa.ListArray.from_arrays(bounds, pa.array(gram)), pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32)))]
 
     fields = [T.StructField("log10_probability", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("bits_per_byte", T.DoubleType())]
-    return with_text_columns(df, text, fields, compute)
+    if complete:
+        return with_text_columns(df, text, fields, compute)
+    fields += [T.StructField("_missed", T.ArrayType(T.LongType(), False)), T.StructField("_times", T.ArrayType(T.IntegerType(), False))]
+    rows = materialize(with_text_columns(df, text, fields, compute).withColumn("_row", F.monotonically_increasing_id()))
+    missed = rows.select("_row", F.explode(F.arrays_zip("_missed", "_times")).alias("m")).select(
+        "_row", F.col("m._missed").alias("gram"), F.col("m._times").alias("times"))
+    sums = missed.join(resolve(missed, model), "gram").groupBy("_row").agg(F.sum(F.col("times") * F.col("value")).alias("_more"))
+    joined = rows.drop("_missed", "_times").join(sums, "_row", "left").drop("_row")
+    total = F.col("log10_probability") + F.coalesce("_more", F.lit(0.0))
+    return joined.withColumns({
+        "log10_probability": total, "bits_per_byte": -total / float(np.log10(2)) / F.col("n_bytes")}).drop("_more")

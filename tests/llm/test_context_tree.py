@@ -124,3 +124,17 @@ def test_query_counts_and_likelihood(spark):
 def test_held_out_texts_are_likelier_than_under_the_base(spark):
     rows = QUERIES["op1_context_tree"](spark, "/root/testdata/sf0.1").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_scores_do_not_depend_on_the_bound(spark):
+    frame = spark.createDataFrame([(t,) for t in TRAINING], "text string")
+    texts = spark.createDataFrame([(n, t) for n, t in enumerate(TEXTS + TRAINING + ["cat zebra mat", "zzzzzz"])], "n long, text string")
+    want = {r.n: r for r in ct.score(texts, "text", ct.fit(frame, "text", 4)).collect()}
+    for most_grams in (0, 20, 200):
+        model = ct.fit(frame, "text", 4, most_grams=most_grams)
+        rows = ct.score(texts, "text", model).collect()
+        assert {r.n for r in rows} == want.keys() and len(rows) == len(want)
+        for row in rows:
+            assert (row.text, row.n_bytes) == (want[row.n].text, want[row.n].n_bytes)
+            assert row.log10_probability == pytest.approx(want[row.n].log10_probability, rel=1e-6, abs=1e-6)
+            assert row.bits_per_byte == pytest.approx(want[row.n].bits_per_byte, rel=1e-6, abs=1e-6)
