@@ -1,7 +1,8 @@
 """Personal data by patterns and by the company it keeps.
 
 Base patterns find e-mail addresses, network addresses, card and telephone numbers. These seeds induce lexical patterns,
-the one or two words before them; other tokens that hold digits and follow such words are candidates. Patterns and
+the one or two words before them; other tokens that hold digits or an at sign (@, [at], (at)) and follow such words are
+candidates. Patterns and
 candidate values form a bipartite graph whose scores are computed in turn: a pattern is as good as the share of its
 values that are known or believed, a value is believed as far as its patterns are good. Patterns that end with high
 confidence and enough distinct seeds mark further identifiers of a fitting shape.
@@ -23,7 +24,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "token": r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++(?:\x20[0-9(][0-9().-]*+(?!\S))*+",
+    "token": r"(?<!\S)(?:(?=\S*?(?:@|\[at\]|\(at\)))\S++|(?=[^\s0-9]*+[0-9])\S++(?:\x20[0-9(][0-9().-]*+(?!\S))*+)",
 }
 #: Texts without a match of these hold none of the kind.
 NEEDS = {
@@ -31,7 +32,7 @@ NEEDS = {
     "ip": lambda text: text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
     "card": lambda text: text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"),
     "phone": lambda text: text.rlike(r"\+[0-9]"),
-    "token": lambda text: text.rlike("[0-9]"),
+    "token": lambda text: text.rlike(r"[0-9@]|\[at\]|\(at\)"),
 }
 CONTEXT_CHARS = 48
 ROUNDS = 3
@@ -80,7 +81,7 @@ def all_matches(docs: DataFrame, text: str) -> DataFrame:
             F.lit(kind).alias("kind"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("found"),
             F.split(body, pattern, -1).alias("pieces")))
         for kind, pattern in PATTERNS.items()]
-    rows = docs.filter(body.rlike("[0-9@]")).select(*KEY, F.monotonically_increasing_id().alias("_row"), F.explode(F.array(*cut)).alias("c"))
+    rows = docs.filter(NEEDS["token"](body)).select(*KEY, F.monotonically_increasing_id().alias("_row"), F.explode(F.array(*cut)).alias("c"))
     rows = rows.filter(F.size("c.found") > 0).select(*KEY, "_row", "c.kind", "c.found", "c.pieces")
     one = rows.select(*KEY, "_row", "kind", F.posexplode(F.arrays_zip("found", "pieces")).alias("at", "m")).filter("m.found IS NOT NULL")
     one = one.select(

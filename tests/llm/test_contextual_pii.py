@@ -95,3 +95,12 @@ def test_query_equals_brute_force(spark):
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[0] == k for s in want) for k in BASE]
         assert set(filter(None, joined.split(","))) <= set(row.spans.split(","))
+
+
+def test_contexts_reveal_addresses_without_digits(spark):
+    rows = [(n, f"word contact: {chr(97 + n)}x@example.org thanks") for n in range(12)]
+    rows += [(100, "say contact: jane[at]example thanks"), (101, "contact: jane(at)example.com 2024."), (102, "contact: jane@example, thanks")]
+    rows += [(103, "order jane[at]example thanks"), (104, "contact: jane thanks")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [r.text[s.start:s.end] for s in r.spans] for r in pii.with_spans(docs, "text", ("doc_id", "text")).collect() if r.spans and not r.base}
+    assert found == {100: ["jane[at]example"], 101: ["jane(at)example.com"], 102: ["jane@example"]}
