@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.llm import (
     byte_bpe, chat_collapse, circulant_minhash, context_tree, contextual_pii, flat_graph, kneser_ney, longest_match,
-    prefix_join, suffix_html, word_counts,
+    merkle_manifest, prefix_join, suffix_html, word_counts,
 )
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
@@ -204,3 +204,68 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     texts = suffix_html.main_text(pages, "url", "html")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@register("op12_merkle_manifest", sql="""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source,
+    sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'),
+      coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+    sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'),
+      coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))) AS changed,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, leaf, CASE WHEN crc % 2 = 0 THEN changed ELSE leaf END AS checked, source,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS r,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+inner_nodes AS (
+  SELECT r AS tree, 0 AS level, pos AS idx, leaf AS h, count(*) OVER (PARTITION BY r) AS size FROM leaves
+  UNION ALL
+  SELECT tree, any_value(level) + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(size) + 2) // 3
+  FROM inner_nodes WHERE size > 1 GROUP BY tree, idx // 3),
+subroots AS (SELECT tree AS idx, h FROM inner_nodes WHERE size = 1),
+top_nodes AS (
+  SELECT 0 AS level, idx, h, count(*) OVER () AS size FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(size) + 2) // 3
+  FROM top_nodes WHERE size > 1 GROUP BY idx // 3),
+heights AS (SELECT tree, max(level) AS height FROM inner_nodes GROUP BY tree),
+nodes AS (
+  SELECT tree, level, idx, h FROM inner_nodes WHERE size > 1
+  UNION ALL SELECT -1, level, idx, h FROM top_nodes WHERE size > 1),
+ways AS (
+  SELECT r, pos, level AS step, tree, level, pos // (3 ** level)::BIGINT AS idx
+  FROM leaves JOIN (SELECT DISTINCT tree, level FROM nodes WHERE tree >= 0) ON tree = r
+  UNION ALL
+  SELECT r, pos, height + level, -1, level, r // (3 ** level)::BIGINT
+  FROM leaves JOIN heights ON tree = r, (SELECT DISTINCT level FROM nodes WHERE tree = -1)),
+steps AS (
+  SELECT r, pos, step, coalesce(string_agg(h, '' ORDER BY n.idx) FILTER (n.idx < w.idx), '') AS lhs,
+    coalesce(string_agg(h, '' ORDER BY n.idx) FILTER (n.idx > w.idx), '') AS rhs
+  FROM ways w JOIN nodes n ON n.tree = w.tree AND n.level = w.level AND n.idx // 3 = w.idx // 3 GROUP BY r, pos, step),
+proofs AS (SELECT r, pos, string_agg(lhs || rhs, '' ORDER BY step) AS proof FROM steps GROUP BY r, pos),
+folds AS (
+  SELECT r, pos, 0::BIGINT AS step, checked AS h FROM leaves
+  UNION ALL
+  SELECT r, pos, step + 1, sha256(lhs || h || rhs) FROM folds JOIN steps USING (r, pos, step)),
+folded AS (SELECT r, pos, arg_max(h, step) AS folded_root FROM folds GROUP BY r, pos)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM leaves JOIN subroots s ON s.idx = r JOIN folded USING (r, pos) LEFT JOIN proofs USING (r, pos), (SELECT h FROM top_nodes WHERE size = 1) t
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = [F.col(c) for c in LEAF_COLUMNS]
+    stripped = [*leaf[:-1], F.replace(F.col("text"), F.lit("\n"), F.lit(""))]
+    changed = F.when(crc_mod("doc_id", 2) == 0, merkle_manifest.leaf_digest(stripped))
+    proofs = merkle_manifest.manifest(
+        table(spark, sf_dir, "documents"), "doc_id", "source", merkle_manifest.leaf_digest(leaf), changed)
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
