@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.llm import (
     byte_bpe, chat_collapse, circulant_minhash, context_tree, contextual_pii, flat_graph, kneser_ney, longest_match,
-    merkle_manifest, prefix_join, suffix_html, word_counts,
+    merkle_manifest, neighbour_votes, prefix_join, suffix_html, word_counts, zone_blocks,
 )
 from labelsieve.plans.registry import Query
 from labelsieve.session import materialize
@@ -269,3 +269,43 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@register("op11_zone_blocks", sql="""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull() & fine).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("q"))
+    found = zone_blocks.hard_negatives(rows, "vec_id", "label", "q", F.col("vec_id") % 100 == 0)
+    return found.select(
+        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"),
+        "positive_score", "negative_score")
+
+
+@register("op13_neighbour_votes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(crc_mod("doc_id", 3) != 1)
+    model = neighbour_votes.fit(docs, labels, "doc_id", "text", "quality")
+    return neighbour_votes.score(docs, "text", model).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
