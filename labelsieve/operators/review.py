@@ -213,6 +213,19 @@ def usable_history(undo: DataFrame, redo: DataFrame, current: DataFrame) -> tupl
     return (undo, redo) if broken.isEmpty() else (undo.limit(0), redo.limit(0))
 
 
+def with_start(commands: DataFrame, items: DataFrame | None) -> DataFrame:
+    """Commands together with the start states of the items, as rows that come before every command.
+
+    The two are united before anything partitions them: what a union of equally partitioned tables promises about its
+    rows no longer holds once a join below it turns into a broadcast.
+    """
+    if items is None:
+        return commands
+    start = items.select(
+        "session_id", F.lit(None).cast("long").alias("seq"), F.lit("start").alias("op"), "item_id", "label", "status")
+    return start.unionByName(commands)
+
+
 def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int = MAX_HISTORY) -> DataFrame:
     """Final state of a log with undo and redo: (session_id, item_id, label, status) of every touched item.
 
@@ -224,10 +237,12 @@ def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int
     spread over the cluster, sorted by Spark, and a task streams over the rows, holding one session's state.
     """
     keys = ["session_id", "item_id"]
+    columns = ["session_id", "seq", "op", "item_id", "label", "status"]
     reversals = commands.filter(F.col("op").isin("undo", "redo")).groupBy("session_id").agg(
         F.max("seq").alias("_last_reversal")
     )
-    rows = commands.join(reversals, "session_id", "left")
+    every = with_start(commands.select(*columns), items)
+    rows = every.join(reversals, "session_id", "left")
     tail = (
         rows.filter((F.col("op") == "update") & (F.col("_last_reversal").isNull() | (F.col("seq") > F.col("_last_reversal"))))
         .groupBy(*keys)
@@ -237,20 +252,13 @@ def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int
         )
         .filter("_label IS NOT NULL OR _status IS NOT NULL")
     )
-    columns = ["session_id", "seq", "op", "item_id", "label", "status"]
-    ordered = rows.filter(F.col("seq") <= F.col("_last_reversal")).select(*columns)
-    if items is not None:
-        start = items.join(reversals.select("session_id"), "session_id", "left_semi").select(
-            "session_id", F.lit(None).cast("long").alias("seq"), F.lit("start").alias("op"),
-            "item_id", "label", "status",
-        )
-        ordered = start.unionByName(ordered)
+    ordered = rows.filter((F.col("seq") <= F.col("_last_reversal")) | ((F.col("op") == "start") & F.col("_last_reversal").isNotNull()))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from fold_rows(batches, cap)
 
     head = (
-        ordered.repartition("session_id")
+        ordered.select(*columns).repartition("session_id")
         .sortWithinPartitions("session_id", F.col("seq").asc_nulls_first())
         .mapInPandas(fold, "session_id string, item_id string, label string, status string")
     )

@@ -93,6 +93,33 @@ def undo_redo_fold(spark, d):
     return review.undo_redo_fold(views.session_commands(spark, d))
 
 
+_START = """
+st AS (
+  SELECT s.session_id, 0::BIGINT AS n, []::STRUCT(i VARCHAR, bl VARCHAR, bs VARCHAR, al VARCHAR, s2 VARCHAR)[] AS undo,
+         []::STRUCT(i VARCHAR, bl VARCHAR, bs VARCHAR, al VARCHAR, s2 VARCHAR)[] AS redo,
+         map_from_entries(list_transform(range(7), lambda k: {'k': 'i' || k, 'v': {'l': 'class_' || (k % 2), 's': 'pending'}})) AS items
+  FROM (SELECT DISTINCT session_id FROM cmd) s
+  UNION ALL"""
+
+
+@query(_FOLD[:_FOLD.index("st AS (")] + _START.strip() + _FOLD[_FOLD.index("UNION ALL") + len("UNION ALL"):].replace(
+    "SELECT session_id, e.key AS item_id, e.value.l AS label, e.value.s AS status FROM ends",
+    "SELECT session_id, e.key AS item_id, e.value.l AS label, e.value.s AS status FROM ends "
+    "WHERE e.key IN (SELECT item FROM cmd WHERE cmd.session_id = ends.session_id AND op = 'update' AND (label IS NOT NULL OR status IS NOT NULL))"))
+def undo_redo_fold_from_start(spark, d):
+    """The fold over items with a start state; rows of items that the session's updates name."""
+    commands = views.session_commands(spark, d)
+    places = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")
+    start = commands.select("session_id").distinct().select("session_id", places).select(
+        "session_id", F.concat(F.lit("i"), F.col("k").cast("string")).alias("item_id"),
+        F.concat(F.lit("class_"), (F.col("k") % 2).cast("string")).alias("label"), F.lit("pending").alias("status"))
+    named = commands.filter("op = 'update' AND (label IS NOT NULL OR status IS NOT NULL)").select("session_id", "item_id").distinct()
+    folded = review.undo_redo_fold(commands, start).join(named, ["session_id", "item_id"])
+    first = start.withColumnsRenamed({"label": "_label", "status": "_status"})
+    return folded.join(first, ["session_id", "item_id"]).select(
+        "session_id", "item_id", F.coalesce("label", "_label").alias("label"), F.coalesce("status", "_status").alias("status"))
+
+
 @query(_FOLD)
 def review_stream(spark, d):
     """The same fold as a stream over the event file; equals ``undo_redo_fold`` for the items it touched."""
