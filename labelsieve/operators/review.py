@@ -12,7 +12,7 @@ from labelsieve.operators.checks import (
     analysis_batch_violations, require_clean, review_domain_violations, union_all, violation,
 )
 from labelsieve.operators.ranking import neighbour_value
-from labelsieve.operators.undo import fold_rows
+from labelsieve.operators.undo import fold_rows, stacks_of
 from labelsieve.schema import ANALYSIS_STATES, MAX_HISTORY, PUBLIC_COLUMNS, STATUSES
 
 
@@ -265,3 +265,22 @@ def undo_redo_fold(commands: DataFrame, items: DataFrame | None = None, cap: int
     return head.join(tail, keys, "full_outer").select(
         *keys, F.coalesce("_label", "label").alias("label"), F.coalesce("_status", "status").alias("status")
     )
+
+
+def session_stacks(commands: DataFrame, items: DataFrame | None = None, cap: int = MAX_HISTORY) -> DataFrame:
+    """(session_id, undo, redo): the stacks that a log leaves behind, oldest command first, at most ``cap`` each.
+
+    Same rows as for ``undo_redo_fold``. Every command of a session can matter here, so a session is streamed in order
+    through one task, which holds that session's states and stacks.
+    """
+    command = "struct<item_id:string,before_label:string,before_status:string,after_label:string,after_status:string>"
+    columns = ["session_id", "seq", "op", "item_id", "label", "status"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from fold_rows(batches, cap, stacks_of)
+
+    return (
+        with_start(commands.select(*columns), items).repartition("session_id")
+        .sortWithinPartitions("session_id", F.col("seq").asc_nulls_first())
+        .mapInPandas(fold, f"session_id string, undo array<{command}>, redo array<{command}>")
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, MutableMapping
+from collections.abc import Callable, Iterator, MutableMapping
 
 import pandas as pd
 
@@ -60,7 +60,20 @@ def _result(session: str, log: SessionLog) -> pd.DataFrame:
     })
 
 
-def fold_rows(batches: Iterator[pd.DataFrame], cap: int = MAX_HISTORY) -> Iterator[pd.DataFrame]:
+def _command(command: tuple[str, Value, Value]) -> dict:
+    item, before, after = command
+    return {"item_id": item, "before_label": before[0], "before_status": before[1], "after_label": after[0], "after_status": after[1]}
+
+
+def stacks_of(session: str, log: SessionLog) -> pd.DataFrame:
+    """The two stacks, oldest command first."""
+    return pd.DataFrame({
+        "session_id": [session], "undo": [[_command(c) for c in log.undo]], "redo": [[_command(c) for c in log.redo]]})
+
+
+def fold_rows(
+    batches: Iterator[pd.DataFrame], cap: int = MAX_HISTORY, result: Callable[[str, SessionLog], pd.DataFrame] = _result,
+) -> Iterator[pd.DataFrame]:
     """Fold rows sorted by (session_id, seq); a session may run over any number of batches."""
     session, log = None, None
     for batch in batches:
@@ -68,8 +81,8 @@ def fold_rows(batches: Iterator[pd.DataFrame], cap: int = MAX_HISTORY) -> Iterat
         for key, op, item, label, status in zip(*columns):
             if key != session:
                 if log is not None:
-                    yield _result(session, log)
+                    yield result(session, log)
                 session, log = key, SessionLog({}, cap=cap)
             log.run(op, _text(item), _text(label), _text(status))
     if log is not None:
-        yield _result(session, log)
+        yield result(session, log)
