@@ -1,15 +1,16 @@
-"""Toxicity as the difference of two Kneser-Ney models.
-
-One bigram model is estimated on texts labelled toxic and one on ordinary texts, both backing off to the same
-continuation counts. Discounts are set so that both give their backoff the same weight: an expression that is rare over
-both classes then has the same probability in either and says nothing. The difference of the log-likelihoods, normalised
-by length over the whole text and over its most striking stretch, goes through a logistic calibration that is fitted on
-texts left out of the counts.
+"""Toxicity as the difference of two Kneser-Ney models over the letters of words.
+
+A word is spelled out, with a mark before and after it. Each class has its own counts of a letter after the seven bytes
+(or fewer, from the word's beginning) before it; all shorter contexts are shared: continuation counts over both classes,
+smoothed down to a uniform byte. An expression that is rare in both classes, or unseen in either, takes its probability
+from these shared counts and says little, while variants of a word that only toxic texts use share their beginnings and
+need not be seen themselves. The log-likelihood difference, by letter over the whole text, by word over its most striking stretch
+and over its most striking words, goes through a logistic calibration fitted on texts left out of the counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,156 +19,185 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelsieve.llm.blocks import (
-    ALPHANUMERIC, Block, by_row, find_words, hash_words, lookup, mix, text_blocks, with_text_columns,
-)
+from labelsieve.llm.blocks import ALPHANUMERIC, Block, Words, by_row, find_words, hash_words, lookup, text_blocks, with_text_columns
 from labelsieve.session import materialize
 
-PER_CLASS = 6_000
-EXPRESSIONS = 200_000
-LEAST_COUNT = 5
-DISCOUNT = 3.0
+#: Labelled rows of a class that are learnt from, at most.
+PER_CLASS = 100_000
+ORDER = 7  # bytes of a context; a gram, with its last byte, fills 64 bits
 STRETCH = 8
-FEATURES = 4
-MOST = 3.0
-STRIKING = 2.0
-ENOUGH = 1.2
-START = np.uint64(0x51A7)
+MOST_STRIKING = (1, 4, 8)
+FEATURES = 3 + len(MOST_STRIKING)
+_BEGIN, _END = 32, 10  # bytes that no word holds
+_TEXTS_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
 class Differences:
-    """Log-likelihood differences: of a word by itself, and of a word after another. Keys are sorted."""
+    """Log-likelihood differences, toxic less ordinary: of a gram, and of any unseen letter after a context. Keys are sorted."""
 
-    words: np.ndarray
-    word_values: np.ndarray
-    pairs: np.ndarray
-    pair_values: np.ndarray
+    grams: np.ndarray
+    gram_values: np.ndarray
+    contexts: np.ndarray
+    context_values: np.ndarray
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """``trend``: what ordinary texts reach in each feature by their number of distinct words, as offset and slope;
+    ``weights`` of what lies above it; ``share`` of toxic labels, the score of a text without any word."""
+
     differences: Differences
+    trend: np.ndarray
     weights: np.ndarray
+    share: float
 
 
-def pair_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every word the hash of the word before it, and a key of both."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[bounds[:-1][bounds[1:] > bounds[:-1]]] = START
-    return before, mix(before * np.uint64(3) + hashes)
+def low_bytes(keys: np.ndarray, count: int) -> np.ndarray:
+    return keys if count == 8 else keys & np.uint64((1 << 8 * count) - 1)
 
 
-def _hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def distinct_words(block: Block) -> tuple[Words, np.ndarray, np.ndarray]:
+    """All words of a block, the places of one of each kind, and every word's kind."""
     words = find_words(block, ALPHANUMERIC)
-    return hash_words(block, words), words.bounds
-
-
-def count_expressions(sample: DataFrame, text: str) -> DataFrame:
-    """(before, word, pair, n0 .. n3): texts of a sample by ``_class`` * 2 + ``_fold`` that hold a word (``before`` is null)
-    or a word after another. A text counts an expression once, so that one text's favourite word is no class's."""
-    schema = "before long, word long, pair long, n0 int, n1 int, n2 int, n3 int"
-    names = ["before", "word", "pair", "n0", "n1", "n2", "n3"]
-
-    def rows(before, hashes, keys, text_of, kinds, alone: bool) -> pa.RecordBatch:
-        order = np.lexsort((keys, text_of))
-        once = np.ones(len(order), dtype=bool)
-        once[1:] = (keys[order][1:] != keys[order][:-1]) | (text_of[order][1:] != text_of[order][:-1])
-        kept = order[once]
-        distinct, first, at = np.unique(keys[kept], return_index=True, return_inverse=True)
-        counts = [np.bincount(at[kinds[kept] == k], minlength=len(distinct)).astype(np.int32) for k in range(4)]
-        first = kept[first]
-        longs = [pa.array(v.view(np.int64)) for v in (before[first], hashes[first], distinct)]
-        if alone:
-            longs[0] = pa.nulls(len(distinct), pa.int64())
-        return pa.RecordBatch.from_arrays([*longs, *[pa.array(c) for c in counts]], names=names)
+    _, first, kind = np.unique(hash_words(block, words), return_index=True, return_inverse=True)
+    return words, first, kind
+
+
+def spell(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, gram) for every letter of some words and the mark after each: a gram holds the letter in its lowest byte
+    and the letters before it in the next ones, the mark before the word among them; what lies further back is zero."""
+    sizes = ends - starts + 1
+    word = np.repeat(np.arange(len(starts)), sizes)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    data = np.append(block.data, np.uint8(0)).astype(np.uint64)
+    at = starts[word] + place
+    grams = np.where(place < sizes[word] - 1, data[at], np.uint64(_END)) if len(word) else np.zeros(0, dtype=np.uint64)
+    for back in range(1, ORDER + 1):
+        letter = np.where(place >= back, data[np.maximum(at - back, 0)], np.where(place == back - 1, np.uint64(_BEGIN), np.uint64(0)))
+        grams |= letter << np.uint64(8 * back)
+    return word, grams
+
+
+def count_grams(sample: DataFrame, text: str) -> DataFrame:
+    """(gram, n0 .. n3): texts of a sample by ``_class`` * 2 + ``_fold`` that hold a word with a gram, summed over words.
+
+    A text counts a word once, so that one text's favourite word is no class's.
+    """
+    names = ["gram", "n0", "n1", "n2", "n3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = np.asarray(batch.column(1)) * 2 + np.asarray(batch.column(2))
-            for block in text_blocks(batch.column(0), 4 << 20, 1 << 20):
-                hashes, bounds = _hashes(block)
-                before, pairs = pair_keys(hashes, bounds)
-                text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                kinds = group[block.first:block.last][text_of]
-                yield rows(before, hashes, pairs, text_of, kinds, False)
-                yield rows(before, hashes, mix(hashes * np.uint64(5)), text_of, kinds, True)
-
-    found = sample.select(text, F.col("_class").cast("int"), F.col("_fold").cast("int")).mapInArrow(run, schema)
-    return found.groupBy("before", "word", "pair").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
-
-
-def _log_ratio(toxic, ordinary):
-    return np.log(np.maximum(toxic, 1e-300)) - np.log(np.maximum(ordinary, 1e-300))
-
-
-def differences(words: dict, pairs: dict, contexts: dict, totals: np.ndarray, types: np.ndarray, groups: tuple) -> Differences:
-    """The two models' differences, from the counts of some of the groups: (ordinary groups, toxic groups)."""
-    ordinary, toxic = groups
-    every = [*ordinary, *toxic]
-
-    def pick(columns: list, of: list) -> np.ndarray:
-        return np.sum([columns[k] for k in of], axis=0)
-
-    share = pick(words["follow"], every) / max(pick(types, every), 1)  # continuation counts over both classes
-    size = np.array([max(pick(totals, g), 1) for g in (ordinary, toxic)], dtype=float)
-    kinds = np.array([max(pick(words["types"], g), 1) for g in (ordinary, toxic)], dtype=float)
-    backoff = min(DISCOUNT * float(np.min(kinds / size)), 0.5)
-    alone = []
-    for k, of in enumerate((ordinary, toxic)):
-        seen = np.maximum(pick(words["n"], of) - backoff * size[k] / kinds[k], 0) / size[k]
-        alone.append(seen + backoff * share)
-    order = np.argsort(words["key"])
-    at, known = lookup(words["key"][order], pairs["word"])
-    spot, context_known = lookup(contexts["key"], pairs["before"])
-    after = []
-    for k, of in enumerate((ordinary, toxic)):
-        base = np.where(known, alone[k][order][at] if len(order) else 0, 1e-9)
-        weight = np.where(context_known, np.clip(DISCOUNT * contexts["follow"][spot] / np.maximum(contexts["n"][spot], 1), 0.2, 1), 1)
-        here = np.maximum(pick(contexts["by"], of)[spot], 0)
-        seen = np.maximum(pick(pairs["n"], of) - DISCOUNT, 0) / np.maximum(here, 1)
-        after.append(np.where(context_known & (here > 0), (1 - weight) * seen + weight * base, base))
-    place = np.argsort(pairs["key"])
-    return Differences(
-        words["key"][order], _log_ratio(alone[1], alone[0])[order], pairs["key"][place], _log_ratio(after[1], after[0])[place])
+            for block in text_blocks(batch.column(0), _TEXTS_BYTES, 1 << 20):
+                words, first, kind = distinct_words(block)
+                kinds = len(first)
+                once = np.unique(words.rows * max(kinds, 1) + kind)
+                groups = group[block.first:block.last][once // max(kinds, 1)]
+                texts = np.bincount(once % max(kinds, 1) * 4 + groups, minlength=kinds * 4).reshape(kinds, 4)
+                word, grams = spell(block, words.starts[first], words.ends[first])
+                distinct, at = np.unique(grams, return_inverse=True)
+                counts = [np.bincount(at, weights=texts[word, k], minlength=len(distinct)).astype(np.int64) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *[pa.array(c) for c in counts]], names=names)
+
+    found = sample.select(text, F.col("_class").cast("int"), F.col("_fold").cast("int")).mapInArrow(run, "gram long, n0 long, n1 long, n2 long, n3 long")
+    return found.groupBy("gram").agg(*[F.sum(name).alias(name) for name in names[1:]])
+
+
+def discount(counts: np.ndarray) -> float:
+    """The absolute discount estimated from how many counts are one and how many two."""
+    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
+    return (ones + 0.5) / (ones + 2 * twos + 1)
+
+
+def shared_probability(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams without their furthest letter, sorted, and the probability of their last letter by continuation counts."""
+    levels = []
+    for size in range(ORDER, 0, -1):  # letters of a gram, itself included
+        shorter, extensions = np.unique(low_bytes(grams, size), return_counts=True)
+        levels.append((size, shorter, extensions))
+        grams = shorter
+    below = None
+    for size, shorter, extensions in reversed(levels):
+        _, context = np.unique(shorter >> np.uint64(8), return_inverse=True)
+        total, kinds, cut = np.bincount(context, weights=extensions), np.bincount(context), discount(extensions)
+        base = np.full(len(shorter), 1 / 256) if below is None else below[1][np.searchsorted(below[0], low_bytes(shorter, size - 1))]
+        below = shorter, (np.maximum(extensions - cut, 0) + cut * kinds[context] * base) / total[context]
+    return below
+
+
+def differences(grams: np.ndarray, counts: Sequence[np.ndarray]) -> Differences:
+    """The two models' differences from sorted grams and their counts in the ordinary and the toxic class."""
+    seen = (counts[0] > 0) | (counts[1] > 0)
+    grams, counts = grams[seen], [c[seen] for c in counts]
+    if not len(grams):
+        nothing = np.zeros(0, dtype=np.uint64)
+        return Differences(nothing, np.zeros(0, dtype=np.float32), nothing, np.zeros(0, dtype=np.float32))
+    shorter, probability = shared_probability(grams)
+    base = probability[np.searchsorted(shorter, low_bytes(grams, ORDER))]
+    contexts, context = np.unique(grams >> np.uint64(8), return_inverse=True)
+    logs, left = [], []
+    for own in counts:
+        cut, total = discount(own), np.bincount(context, weights=own)
+        rest = np.where(total > 0, cut * np.bincount(context, weights=own > 0) / np.maximum(total, 1), 1.0)
+        logs.append(np.log(np.maximum(own - cut, 0) / np.maximum(total, 1)[context] + rest[context] * base))
+        left.append(np.log(rest))
+    return Differences(grams, (logs[1] - logs[0]).astype(np.float32), contexts, (left[1] - left[0]).astype(np.float32))
+
+
+def word_differences(block: Block, starts: np.ndarray, ends: np.ndarray, tables: Differences) -> np.ndarray:
+    """Log-likelihood difference of each of some words."""
+    word, grams = spell(block, starts, ends)
+    at, known = lookup(tables.grams, grams)
+    values = np.where(known, tables.gram_values[at] if len(tables.grams) else 0, 0.0)
+    unseen = np.flatnonzero(~known)
+    at, known = lookup(tables.contexts, grams[unseen] >> np.uint64(8))
+    values[unseen] = np.where(known, tables.context_values[at] if len(tables.contexts) else 0, 0.0)
+    return np.bincount(word, weights=values, minlength=len(starts))
 
 
 def text_features(texts: pa.Array, tables: Differences) -> np.ndarray:
-    """By text: difference per word, that of the most striking stretch, what striking words are above the bar, and that up to a bound."""
+    """By text: difference per letter, per word of the most striking stretch, mean of the one, four and eight most striking
+    distinct words (fewer, if there are not so many), and the logarithm of the number of distinct words, since the more
+    words a text has, the more striking are the most striking ones by chance."""
     out = np.zeros((len(texts), FEATURES))
-    for block in text_blocks(texts):
-        hashes, bounds = _hashes(block)
-        if not len(hashes):
+    for block in text_blocks(texts, _TEXTS_BYTES, 1 << 20):
+        words, first, kind = distinct_words(block)
+        if not len(kind):
             continue
-        at, known = lookup(tables.words, hashes)
-        values = np.where(known, tables.word_values[at] if len(tables.words) else 0, 0.0)
-        _, keys = pair_keys(hashes, bounds)
-        at, known = lookup(tables.pairs, keys)
-        values = np.where(known, tables.pair_values[at] if len(tables.pairs) else 0, values)
-        values = np.clip(values, -MOST, MOST)  # no single expression decides
-        sizes = np.diff(bounds)
+        by_kind = word_differences(block, words.starts[first], words.ends[first], tables)
+        values = by_kind[kind]
+        sizes = np.diff(words.bounds)
+        letters = by_row(words.ends - words.starts + 1, words.bounds)
         sums = np.concatenate([[0.0], np.cumsum(values)])
         ends = np.arange(1, len(values) + 1)
-        begins = np.maximum(ends - STRETCH, np.repeat(bounds[:-1], sizes))
-        stretches = (sums[ends] - sums[begins]) / STRETCH
+        begins = np.maximum(ends - STRETCH, np.repeat(words.bounds[:-1], sizes))
         rows = slice(block.first, block.last)
-        out[rows, 0] = by_row(values, bounds, empty=0.0) / np.maximum(sizes, 1)
-        out[rows, 1] = by_row(stretches, bounds, np.maximum, 0.0)
-        striking = by_row(np.maximum(values - STRIKING, 0), bounds, empty=0.0)
-        out[rows, 2] = np.log1p(striking)
-        out[rows, 3] = np.minimum(striking, ENOUGH)
+        out[rows, 0] = by_row(values, words.bounds, empty=0.0) / np.maximum(letters, 1)
+        out[rows, 1] = by_row((sums[ends] - sums[begins]) / STRETCH, words.bounds, np.maximum, 0.0)
+        once = np.unique(words.rows * len(first) + kind)
+        row, value = once // len(first), by_kind[once % len(first)]
+        order = np.lexsort((-value, row))
+        row, value = row[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        for column, most in enumerate(MOST_STRIKING, 2):
+            top = place < most
+            n = np.bincount(row[top], minlength=len(sizes))
+            out[rows, column] = np.bincount(row[top], weights=value[top], minlength=len(sizes)) / np.maximum(n, 1)
+        out[rows, FEATURES - 1] = np.log1p(np.bincount(row, minlength=len(sizes)))
     return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Newton's method on the small table of calibration features; with one class only, a constant."""
-    x = np.column_stack([np.ones(len(x)), x])
+    """Newton's method on the small table of calibration features, scaled to unit spread; with one class only, a constant."""
+    spread = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(x.shape[1])
+    scaling = np.concatenate([[1.0], spread])
+    x = np.column_stack([np.ones(len(x)), x / spread])
     share = np.clip(np.average(y, weights=weight) if len(y) else 0.5, 1e-3, 1 - 1e-3)
     beta = np.zeros(x.shape[1])
     beta[0] = np.log(share / (1 - share))
     if len(np.unique(y)) < 2:
-        return beta
+        return beta / scaling
     weight = weight / weight.sum()
     penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1))
     for _ in range(rounds):
@@ -178,70 +208,59 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
         beta -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return beta
+    return beta / scaling
 
 
-def apply_logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
+def fit_trend(x: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """(offset, slope) of every feature but the last over the last one, by least squares over ordinary texts."""
+    rows = x[ordinary & (x[:, -1] > 0)]
+    if not len(rows):
+        return np.zeros((2, x.shape[1] - 1))
+    size, values = rows[:, -1], rows[:, :-1]
+    spread = size.var()
+    slope = ((size - size.mean())[:, None] * values).mean(axis=0) / spread if spread > 1e-9 else np.zeros(values.shape[1])
+    return np.stack([values.mean(axis=0) - slope * size.mean(), slope])
 
 
-def _arrays(df: DataFrame, counts: list[str]) -> dict[str, np.ndarray]:
-    table = df.toArrow()
-    return {name: table[name].to_numpy().view(np.uint64) if name not in counts else table[name].to_numpy() for name in table.column_names}
+def above_trend(x: np.ndarray, trend: np.ndarray) -> np.ndarray:
+    return x[:, :-1] - trend[0] - x[:, -1:] * trend[1]
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int = PER_CLASS,
-    expressions: int = EXPRESSIONS, least_count: int = LEAST_COUNT,
-) -> ToxicityModel:
-    """Fit on labelled texts.
+def apply_logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
 
-    ``labels`` (key, label 0 or 1) are the rows to learn from; rows without key or label are left out, and the highest
-    label of a key counts. At most ``per_class`` rows of each class are used, those whose hashed keys are lowest, and of
-    their expressions at most ``expressions`` words and pairs, the most frequent ones: this bounds the model, which is
-    sent to every task. Without labelled rows every score is 0.5; with one class it is near that class.
-    """
-    spark = docs.sparkSession
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(key, text, _class, _fold) of at most ``per_class`` labelled texts a class, and how many rows each class has."""
     rows = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_class"))
     found = {row._class: row["count"] for row in rows.groupBy("_class").count().collect()}
     order = [F.xxhash64(F.col(key), F.lit("sample")), F.col(key)]
     chosen = [rows.filter(F.col("_class") == c).orderBy(*order).limit(per_class).toArrow() for c in (0, 1)]
-    ids = spark.createDataFrame(pa.concat_tables(chosen)).withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(2)))
+    ids = docs.sparkSession.createDataFrame(pa.concat_tables(chosen))
     sample = docs.select(key, text).join(F.broadcast(ids), key)  # two classes of at most per_class ids
-    distinct = sample.groupBy(F.md5(text)).agg(*[F.min_by(c, key).alias(c) for c in (text, "_class", "_fold")])
-
-    expressions_found = materialize(count_expressions(distinct, text))
-    pairs = expressions_found.filter("before IS NOT NULL")
-    columns = [f"n{k}" for k in range(4)]
-    total = sum(F.col(c) for c in columns)
-    alone = F.col("before").isNull()
-    all_words = expressions_found.groupBy("word").agg(
-        *[F.sum(F.when(alone, F.col(c)).otherwise(0)).alias(c) for c in columns],
-        *[F.sum((~alone & (F.col(c) > 0)).cast("long")).alias(f"f{k}") for k, c in enumerate(columns)])
-    top = all_words.withColumn("_n", total).filter(F.col("_n") >= least_count).orderBy(F.desc("_n"), "word").limit(expressions).drop("_n")
-    word_columns = [*columns, *[f"f{k}" for k in range(4)]]
-    words = _arrays(top, word_columns)
-    sums = all_words.agg(
-        *[F.sum(c) for c in columns], *[F.sum(f"f{k}") for k in range(4)],
-        *[F.sum((F.col(c) > 0).cast("long")) for c in columns]).first()
-    sums = np.array([value or 0 for value in sums], dtype=float)
-    top_pairs = _arrays(
-        pairs.withColumn("_n", total).filter(F.col("_n") >= least_count).orderBy(F.desc("_n"), "pair").limit(expressions).drop("_n"), columns)
-    follow = pairs.groupBy("before").agg(F.count("*").alias("follow"), *[F.sum(c).alias(c) for c in columns])
-    around = _arrays(
-        follow.withColumn("_n", total).filter(F.col("_n") >= least_count).orderBy(F.desc("_n"), "before").limit(expressions).drop("_n"),
-        ["follow", *columns])
-    place = np.argsort(around["before"])
-    contexts = {"key": around["before"][place], "follow": around["follow"][place], "by": [around[c][place] for c in columns]}
-    contexts["n"] = np.sum(contexts["by"], axis=0)
-    word_table = {
-        "key": words["word"], "n": [words[c] for c in columns], "follow": [words[f"f{k}"] for k in range(4)], "types": list(sums[8:12])}
-    pair_table = {"key": top_pairs["pair"], "word": top_pairs["word"], "before": top_pairs["before"], "n": [top_pairs[c] for c in columns]}
+    return sample.withColumn("_fold", F.pmod(F.xxhash64(F.col(text), F.lit("fold")), F.lit(2))), found  # copies share a fold
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int = PER_CLASS) -> ToxicityModel:
+    """Fit on labelled texts.
+
+    ``labels`` (key, label 0 or 1) are the rows to learn from; rows without key or label are left out, and the highest
+    label of a key counts. At most ``per_class`` rows of each class are used, those whose hashed keys are lowest; this is
+    the only bound, all their words count. Equal texts count once. The calibration weighs the rows of a class by the
+    class's share of all labels, so a sample that binds for one class does not shift the scores. Without labelled rows
+    every score is 0.5; with one class it is near that class.
+    """
+    sample, found = labelled_sample(docs, labels, key, text, label, per_class)
+    distinct = sample.groupBy(F.xxhash64(text), F.md5(text)).agg(*[F.min_by(c, key).alias(c) for c in (text, "_class", "_fold")])
+    table = materialize(count_grams(distinct, text)).toArrow()
+    grams = table["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    grams, counts = grams[order], [table[f"n{k}"].to_numpy()[order] for k in range(4)]
 
     def tables(folds: tuple[int, ...]) -> Differences:
-        return differences(word_table, pair_table, contexts, list(sums[:4]), list(sums[4:8]), ([*folds], [2 + f for f in folds]))
+        return differences(grams, [sum(counts[c * 2 + f] for f in folds) for c in (0, 1)])
 
-    crossed = spark.sparkContext.broadcast([tables((1,)), tables((0,))])
+    crossed = docs.sparkSession.sparkContext.broadcast([tables((1,)), tables((0,))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,25 +268,31 @@ def fit(
             features = np.zeros((batch.num_rows, FEATURES))
             for k in (0, 1):
                 features[fold == k] = text_features(batch.column(0).filter(pa.array(fold == k)), crossed.value[k])
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c) for c in features.T]], names=["c", *"wxyz"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c) for c in features.T]], names=["c", *names])
 
-    small = sample.select(text, "_class", F.col("_fold").cast("int")).mapInArrow(measure, "c int, w double, x double, y double, z double")
-    table = small.toArrow()
-    y = table["c"].to_numpy().astype(float)
-    x = np.column_stack([table[c].to_numpy() for c in "wxyz"]) if len(y) else np.zeros((0, FEATURES))
+    names = [f"x{k}" for k in range(FEATURES)]
+    small = sample.select(text, "_class", F.col("_fold").cast("int")).mapInArrow(
+        measure, ", ".join(["c int", *[f"{name} double" for name in names]])).toArrow()
+    y = small["c"].to_numpy().astype(float)
+    x = np.column_stack([small[c].to_numpy() for c in names]) if len(y) else np.zeros((0, FEATURES))
     used = {c: max(int((y == c).sum()), 1) for c in (0, 1)}
     weight = np.where(y == 1, found.get(1, 0) / used[1], found.get(0, 0) / used[0])
-    return ToxicityModel(tables((0, 1)), fit_logistic(x, y, weight) if len(y) else np.zeros(FEATURES + 1))
+    share = (found.get(1, 0) + 0.5) / (found.get(0, 0) + found.get(1, 0) + 1)
+    trend = fit_trend(x, y == 0)
+    return ToxicityModel(tables((0, 1)), trend, fit_logistic(above_trend(x, trend), y, weight) if len(y) else np.zeros(FEATURES), share)
 
 
 def score(df: DataFrame, text: str, model: ToxicityModel, out: str = "score") -> DataFrame:
-    """Add the probability that a whole text is toxic, from 0 to 1; null and empty texts get the model's constant.
+    """Add the probability that a whole text is toxic, from 0 to 1; texts without words, null and empty ones among them, get the share of
+    toxic labels.
 
     A row's score depends on its text alone. A column named ``out`` is replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array(apply_logistic(text_features(texts, sent.value.differences), sent.value.weights))]
+        features = text_features(texts, sent.value.differences)
+        found = apply_logistic(above_trend(features, sent.value.trend), sent.value.weights)
+        return [pa.array(np.where(features[:, -1] > 0, found, sent.value.share))]
 
     return with_text_columns(df, text, [T.StructField(out, T.DoubleType())], compute)
