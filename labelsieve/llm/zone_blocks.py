@@ -186,9 +186,12 @@ class _Tile:
         self.scores, self.cuts = np.array(row["scores"], dtype=np.int64), np.array(row["cuts"], dtype=np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
 
-    def windows(self, anchor: int, rule: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, anchor: int, rule: Windows, negatives: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By window the positive's score, and the least and greatest score that can still enter the result."""
         own = slice(self.bounds[anchor], self.bounds[anchor + 1])
-        return (self.scores[own], *rule.bounds(self.scores[own]))
+        scores = self.scores[own]
+        lows, highs = rule.bounds(scores) if negatives else (np.full(len(scores), _LEAST + 1), np.full(len(scores), -_LEAST - 1))
+        return scores, np.maximum(lows, self.cuts[own]) if len(self.cuts) else lows, highs
 
 
 def _search(tile: _Tile, block: dict, dims: int, rule: Windows, negatives: bool, wanted: np.ndarray) -> list[tuple]:
@@ -199,14 +202,11 @@ def _search(tile: _Tile, block: dict, dims: int, rule: Windows, negatives: bool,
     found = []
     for row, anchor in zip(scores, wanted):
         name = int(tile.ids[anchor])
-        if negatives:
-            values, lows, highs = tile.windows(anchor, rule)
-            for value, places in zip(values, best_of_windows(row, ids, labels != tile.labels[anchor], lows, highs, rule.negatives)):
-                found += [(name, int(value), int(ids[k]), int(row[k])) for k in places]
-        else:
-            usable = (labels == tile.labels[anchor]) & (ids != name)
-            every = np.array([_LEAST + 1]), np.array([-_LEAST - 1])
-            found += [(name, None, int(ids[k]), int(row[k])) for k in best_of_windows(row, ids, usable, *every, rule.positives)[0]]
+        values, lows, highs = tile.windows(anchor, rule, negatives)
+        usable = labels != tile.labels[anchor] if negatives else (labels == tile.labels[anchor]) & (ids != name)
+        most = rule.negatives if negatives else rule.positives
+        for value, places in zip(values, best_of_windows(row, ids, usable, lows, highs, most)):
+            found += [(name, int(value) if negatives else None, int(ids[k]), int(row[k])) for k in places]
     return found
 
 
@@ -240,6 +240,7 @@ def choose_blocks(tiles: DataFrame, pages: DataFrame, n_pages: int, dims: int, r
 
     A block is needed for an anchor if it holds a fitting label and its bounds reach a window at or above the window's
     cut, the score that an anchor's result is known to reach already. The blocks of the tile itself are left out.
+    Below the cut, rows of a block that is read are not passed on either.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +256,8 @@ def choose_blocks(tiles: DataFrame, pages: DataFrame, n_pages: int, dims: int, r
                 for anchor in range(len(tile.ids)):
                     fits = kinds != tile.labels[anchor] if negatives else kinds == tile.labels[anchor]
                     reach = np.bincount(kind_of[fits], minlength=len(blocks)) > 0
-                    own = slice(tile.bounds[anchor], tile.bounds[anchor + 1])
-                    if negatives:
-                        _, _, highs = tile.windows(anchor, rule)
-                    else:
-                        highs = np.full(own.stop - own.start, -_LEAST - 1)
-                    cuts = tile.cuts[own]
-                    open_ = (greatest[anchor][:, None] >= cuts) & (least[anchor][:, None] <= highs) & (cuts <= highs)
+                    _, lows, highs = tile.windows(anchor, rule, negatives)
+                    open_ = (greatest[anchor][:, None] >= lows) & (least[anchor][:, None] <= highs) & (lows <= highs)
                     here[anchor] = reach & open_.any(axis=1)
                 here[:, blocks // TILE_BLOCKS == row["tile"]] = False
                 for k in np.flatnonzero(here.any(axis=0)):
