@@ -126,7 +126,8 @@ def review_stream(spark, d):
     ensure_checkpoint_dir(spark)
     work = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     source = views.table(spark, d, "events")
-    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    own = stream.stream_session(spark)
+    events = own.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     commands = views.as_session_commands(events)
 
     def append(batch, _):
@@ -138,6 +139,57 @@ def review_stream(spark, d):
     return stream.latest_changes(spark.read.parquet(f"{work}/changes"))
 
 
+_ARRIVAL = """
+timed AS (
+  SELECT *, epoch_ms(ts) AS ms, CAST(floor(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) / 6) AS BIGINT)
+    + CASE event_id % 11 WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS batch
+  FROM events
+),
+marks AS (SELECT batch, max(max(ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 172800000 AS mark FROM timed GROUP BY batch),
+placed AS (SELECT timed.*, coalesce(ms < mark, false) AS late FROM timed JOIN marks USING (batch)),"""
+
+
+@query(_FOLD.replace("WITH RECURSIVE", "WITH RECURSIVE" + _ARRIVAL).replace("ORDER BY event_id", "ORDER BY ms, event_id").replace(
+    "  FROM events\n),\nst AS", "  FROM placed WHERE NOT late\n),\nst AS") + """
+UNION ALL
+SELECT CAST(user_id AS VARCHAR), CASE WHEN event_type NOT IN ('view', 'signup') THEN 'i' || (CAST(floor(value) AS BIGINT) % 7) END,
+       CAST(event_id AS VARCHAR), 'late' FROM placed WHERE late
+""")
+def ordered_review_stream(spark, d):
+    """Commands that arrive in six-day batches, some of them one or two batches behind: the states they lead to in the
+    order of their times, and those that came more than two days after the watermark had passed them."""
+    ensure_checkpoint_dir(spark)
+    work = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    own = stream.stream_session(spark)
+    events = views.table(own, d, "events")
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))")  # whatever the time zone
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    first = events.agg(F.min(F.to_date("ts")).alias("first"))
+    behind = F.when(F.col("seq") % 11 == 3, 1).when(F.col("seq") % 11 == 5, 2).otherwise(0)
+    commands = views.as_session_commands(events).join(events.select(F.col("event_id").alias("seq"), instant.alias("ts")), "seq").join(first)
+    commands = commands.withColumn("batch", F.floor(F.datediff(F.to_date("ts"), "first") / 6) + behind).drop("first")
+    commands.write.partitionBy("batch").parquet(f"{work}/arrivals")
+    schema = commands.drop("batch").schema
+    batches = sorted(row.batch for row in own.read.parquet(f"{work}/arrivals").select("batch").distinct().collect())
+    end = own.createDataFrame([("", "update", "i0")], "session_id string, op string, item_id string").select(
+        F.lit(-1).cast("long").alias("seq"), "session_id", "op", "item_id", *[F.lit(None).cast("string").alias(c) for c in ("label", "status")],
+        F.lit("2200-01-01").cast("timestamp").alias("ts"))  # its time lets the watermark pass all others
+    parts = [own.read.schema(schema).parquet(f"{work}/arrivals/batch={batch}") for batch in batches] + [end]
+
+    def append(batch, _):
+        batch.write.mode("append").parquet(f"{work}/changes")
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{work}/in")
+        arriving = own.readStream.schema(schema).parquet(f"{work}/in")
+        run = (stream.ordered_review_stream(arriving, "ts", "2 days").writeStream.outputMode("append").foreachBatch(append)
+               .option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start())
+        run.awaitTermination()
+    rows = spark.read.parquet(f"{work}/changes").filter("session_id <> ''")
+    late = stream.late_of(rows).select("session_id", "item_id", F.col("seq").cast("string").alias("label"), F.lit("late").alias("status"))
+    return stream.latest_changes(stream.changes_of(rows)).unionByName(late)
+
+
 @query("""
 SELECT status, count(*) AS n FROM rl GROUP BY status
 """, (sql.REVIEW_LOG,))

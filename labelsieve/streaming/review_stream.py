@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +17,18 @@ OUTPUT = "session_id string, seq bigint, item_id string, label string, status st
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store that the streams need; ``spark`` keeps its settings."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
+def require_rocksdb(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise ValueError("the review stream needs the RocksDB state store: read the commands with stream_session(spark)")
+
+
 class _ItemStates(MutableMapping):
     """The state store's map of one session as item -> (label, status); an item is read and written once per batch."""
 
@@ -66,10 +78,8 @@ class ReviewProcessor(StatefulProcessor):
         self.stacks = handle.getValueState("stacks", "undo string, redo string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        undo, redo = map(json.loads, self.stacks.get()) if self.stacks.exists() else ([], [])
-        as_commands = lambda stack: [(item, tuple(before), tuple(after)) for item, before, after in stack]
         states = _ItemStates(self.items)
-        log = SessionLog(states, as_commands(undo), as_commands(redo), self.cap)
+        log = SessionLog(states, *_stacks(self.stacks), self.cap)
         commands = pd.concat(rows).sort_values("seq", kind="stable")
         changed = []
         for seq, op, item, label, status in zip(*(commands[c] for c in ("seq", "op", "item_id", "label", "status"))):
@@ -88,17 +98,108 @@ def review_stream(commands: DataFrame, cap: int = MAX_HISTORY) -> DataFrame:
     """Changes (session_id, seq, item_id, label, status) of a command stream, in update mode.
 
     Commands of a session must not arrive in a later micro-batch than their successors; inside a micro-batch they are
-    put in order. Limit a micro-batch at the source. Needs the RocksDB state store.
+    put in order. Limit a micro-batch at the source. Needs a session with the RocksDB state store (``stream_session``).
     """
-    commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    require_rocksdb(commands.sparkSession)
     return commands.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=ReviewProcessor(cap), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
     )
 
 
+def _stacks(state) -> tuple[list, list]:
+    undo, redo = map(json.loads, state.get()) if state.exists() else ([], [])
+
+    def commands(stack):
+        return [(item, tuple(before), tuple(after)) for item, before, after in stack]
+
+    return commands(undo), commands(redo)
+
+
+class OrderedReviewProcessor(StatefulProcessor):
+    """Holds commands until the watermark has passed them, then applies them in the order of time and sequence number.
+
+    A command older than the watermark when it arrives is not applied: it comes out as a row of its own. Held commands lie
+    in the state store one by one; a timer at the earliest of them wakes the session.
+    """
+
+    def __init__(self, cap: int = MAX_HISTORY):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "item_id string", "label string, status string")
+        self.stacks = handle.getValueState("stacks", "undo string, redo string")
+        self.held = handle.getMapState("held", "at_ms bigint, seq bigint", "op string, item_id string, label string, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, first = timerValues.getCurrentWatermarkInMs(), None
+        for batch in rows:
+            late = batch["at_ms"] < watermark
+            for at, seq, *command in zip(*(batch.loc[~late, c] for c in ("at_ms", "seq", "op", "item_id", "label", "status"))):
+                self.held.updateValue((int(at), int(seq)), tuple(_text(v) for v in command))
+                first = int(at) if first is None else min(first, int(at))
+            if late.any():
+                yield batch.loc[late].assign(session_id=key[0], kind="late")[list(ORDERED)]
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(k) for k in self.held.keys())
+        due = [k for k in waiting if k[0] < watermark]
+        states = _ItemStates(self.items)
+        log = SessionLog(states, *_stacks(self.stacks), self.cap)
+        changed = []
+        for place in due:
+            touched = log.run(*self.held.getValue(place))
+            self.held.removeKey(place)
+            if touched is not None:
+                changed.append((key[0], place[0], place[1], touched, *states[touched], "change"))
+        states.flush()
+        self.stacks.update((json.dumps(list(log.undo)), json.dumps(log.redo)))
+        if len(due) < len(waiting):
+            self.handle.registerTimer(waiting[len(due)][0] + 1)
+        if changed:
+            yield pd.DataFrame(changed, columns=list(ORDERED))
+
+    def close(self) -> None:
+        pass
+
+
+ORDERED = ("session_id", "at_ms", "seq", "item_id", "label", "status", "kind")
+
+
+def ordered_review_stream(commands: DataFrame, at: str, delay: str, cap: int = MAX_HISTORY) -> DataFrame:
+    """(session_id, at_ms, seq, item_id, label, status, kind) of a command stream that may arrive in any order, appended.
+
+    ``at`` is the time of a command, ``delay`` how long its successors wait for it. Rows of kind ``change`` are the states
+    that commands lead to, in order; ``changes_of`` selects them. Rows of kind ``late`` are commands that arrived when the
+    watermark had passed them: they are reported by ``late_of``, never applied and never lost. What the watermark has
+    not passed when a stream ends stays held in its state. Commands without session, time or number are late rows of
+    nobody: filter them before. Two commands of a session with the same time and number count as one.
+    """
+    require_rocksdb(commands.sparkSession)
+    timed = commands.withWatermark(at, delay).select(
+        "session_id", F.unix_millis(at).alias("at_ms"), F.col("seq").cast("long").alias("seq"), "op", "item_id", "label", "status")
+    return timed.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=OrderedReviewProcessor(cap),
+        outputStructType="session_id string, at_ms bigint, seq bigint, item_id string, label string, status string, kind string",
+        outputMode="Append", timeMode="EventTime")
+
+
+def changes_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'change'").drop("kind")
+
+
+def late_of(rows: DataFrame) -> DataFrame:
+    """Late commands (session_id, at_ms, seq, item_id, label, status)."""
+    return rows.filter("kind = 'late'").drop("kind")
+
+
 def latest_changes(changes: DataFrame) -> DataFrame:
     """Final state from all emitted changes."""
-    last = F.max_by(F.struct("label", "status"), "seq").alias("_s")
+    order = F.struct("at_ms", "seq") if "at_ms" in changes.columns else F.col("seq")
+    last = F.max_by(F.struct("label", "status"), order).alias("_s")
     return changes.groupBy("session_id", "item_id").agg(last).select("session_id", "item_id", "_s.label", "_s.status")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelsieve.operators import queue, review
 from labelsieve.operators.checks import ViolationError
 from labelsieve.operators.ranking import bucketed_rank, grouped_rank, neighbour_value, ordered_rank
-from labelsieve.streaming.review_stream import latest_changes, review_stream
+from labelsieve.streaming.review_stream import changes_of, late_of, latest_changes, ordered_review_stream, review_stream, stream_session
 
 COMMANDS = "seq long, session_id string, op string, item_id string, label string, status string"
 
@@ -76,7 +76,8 @@ def test_stream_equals_batch(spark, tmp_path):
     commands = random_commands(300, 3, 9)
     for part in range(3):
         spark.createDataFrame(commands[part * 100:(part + 1) * 100], COMMANDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    stream = stream_session(spark).readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     changes = []
     run = (review_stream(stream).writeStream.outputMode("update").trigger(availableNow=True)
            .option("checkpointLocation", str(tmp_path / "state"))
@@ -84,6 +85,36 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination()
     final = latest_changes(spark.createDataFrame(changes, "session_id string, seq long, item_id string, label string, status string"))
     assert state_of(final) == model(commands)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") == before
+    with pytest.raises(ValueError):
+        review_stream(spark.readStream.schema(COMMANDS).parquet(str(tmp_path / "in")))
+
+
+def test_ordered_stream_under_shuffled_arrival(spark, tmp_path):
+    """Commands within the delay are put in order; those behind the watermark come out as late rows and change nothing."""
+    rng, commands = random.Random(4), random_commands(240, 3, 12)
+    batches = [[], [], [], []]
+    for command in commands:
+        home = command[0] // 60
+        batches[min(home + (rng.random() < 0.3), 3)].append((*command, command[0] * 1000))
+    late, top = set(), None
+    for batch in batches:
+        late |= {c[0] for c in batch if top is not None and c[-1] < top - 20_000}
+        top = max([c[-1] for c in batch] + [top or 0])
+    own, schema = stream_session(spark), COMMANDS + ", ms long"
+    batches.append([(-1, "end", "update", "i0", "a", None, 10 ** 10)])
+    rows = []
+    for batch in batches:
+        rng.shuffle(batch)
+        own.createDataFrame(batch, schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        arriving = own.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_millis("ms"))
+        run = (ordered_review_stream(arriving, "at", "20 seconds").writeStream.outputMode("append").trigger(availableNow=True)
+               .option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda part, _: rows.extend(part.collect())).start())
+        run.awaitTermination()
+    out = spark.createDataFrame(rows, "session_id string, at_ms long, seq long, item_id string, label string, status string, kind string").filter("session_id <> 'end'")
+    assert late and {r.seq for r in late_of(out).collect()} == late
+    kept = [c for c in commands if c[0] not in late]
+    assert state_of(latest_changes(changes_of(out))) == model(kept)
 
 
 def test_previous_value_crosses_stretches(spark):
