@@ -17,6 +17,7 @@ from labelsieve.session import materialize, small_table
 #: Fixed value: letters a-z, digits and everything beyond ASCII make words.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+_WORDS = "_words_of_the_text"
 
 
 def words_of(text: Column) -> Column:
@@ -65,7 +66,11 @@ def find_passages(
     Documents without a hit have no row. The key is that of ``with_key(docs, *identity)``; ``identity`` must determine
     the text. Null and empty texts and items hold no words. Rows of the same identity count once.
     """
-    keyed = with_key(docs, *identity).select(*KEY, words_of(F.col(text)).alias("words"))
+    return passages_of(materialize(with_key(docs, *identity).select(*KEY, words_of(F.col(text)).alias("words"))), items, item, item_text, window)
+
+
+def passages_of(keyed: DataFrame, items: DataFrame, item: str, item_text: str, window: int = WINDOW) -> DataFrame:
+    """``find_passages`` of documents whose words (``KEY``, words) have been split and written before."""
     vocabulary = small_table(items.select(F.explode(words_of(F.col(item_text))).alias("word")).distinct())
     counts = materialize(
         keyed.select(F.explode("words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")))
@@ -95,10 +100,10 @@ def mark_contamination(
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids as sorted strings) and ``contaminated``: a word was hit and at
     least one word in twenty. Every row stays, also repeated ones; columns of these names are replaced."""
     new = ["n_words", "n_hit", "items", "contaminated"]
-    found = find_passages(docs, text, items, item, item_text, identity, window)
     rows = with_key(docs.drop(*[c for c in new if c not in identity and c != text]), *identity)
-    rows = rows.withColumn("n_words", F.size(words_of(F.col(text))).cast("long"))
-    joined = rows.join(found, KEY, "left").drop(*KEY)
+    split = materialize(rows.withColumn(_WORDS, words_of(F.col(text))))  # words are read twice more, splitting is dear
+    found = passages_of(split.select(*KEY, F.col(_WORDS).alias("words")), items, item, item_text, window)
+    joined = split.withColumn("n_words", F.size(_WORDS).cast("long")).drop(_WORDS).join(found, KEY, "left").drop(*KEY)
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.withColumns({
         "n_hit": hit, "items": F.coalesce("items", F.array().cast("array<string>")),
