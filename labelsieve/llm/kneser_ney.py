@@ -29,7 +29,7 @@ STRETCH = 8
 MOST_STRIKING = (1, 4, 8)
 FEATURES = 3 + len(MOST_STRIKING)
 _BEGIN, _END = 32, 10  # bytes that no word holds
-_TEXTS_BYTES = 4 << 20
+_TEXTS_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
