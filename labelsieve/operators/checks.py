@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.functions.vectors import has_non_finite, is_finite_number
 from labelsieve.schema import FEATURE_WIDTH, FINITE_CHECK_CHUNK, STATUSES
+from labelsieve.session import small_table
 
 
 class ViolationError(ValueError):
@@ -48,9 +49,15 @@ def duplicates(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     return violation(repeated, rule, F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), F.col("_n"))
 
 
-def missing_reference(df: DataFrame, key: str, domain: DataFrame, domain_key: str, rule: str, item: Column) -> DataFrame:
-    """Rows whose ``key`` does not occur in the domain; a NULL key is missing too."""
+def missing_reference(
+    df: DataFrame, key: str, domain: DataFrame, domain_key: str, rule: str, item: Column, small: bool = False,
+) -> DataFrame:
+    """Rows whose ``key`` does not occur in the domain; a NULL key is missing too.
+
+    A ``small`` domain, such as the classes, is pinned, so that rows are not shuffled by a key with few values.
+    """
     wanted = domain.select(F.col(domain_key).alias(key)).distinct()
+    wanted = small_table(wanted) if small else wanted
     return violation(df.join(wanted, key, "left_anti"), rule, item, F.col(key))
 
 
@@ -135,7 +142,7 @@ def analysis_batch_violations(
     return union_all([
         violation(tagged.filter(shape.isNotNull()), "coverage", F.col("id"), shape),
         row_violations(batch, *[(rule, condition, F.col("id"), F.lit("")) for rule, condition in broken.items()]),
-        missing_reference(batch, "suggested_label", classes, "class_name", "unknown_suggestion", F.col("id")),
+        missing_reference(batch, "suggested_label", classes, "class_name", "unknown_suggestion", F.col("id"), small=True),
     ])
 
 
@@ -145,7 +152,7 @@ def review_domain_violations(updates: DataFrame, items: DataFrame, classes: Data
     status = F.col("status")
     return union_all([
         missing_reference(updates, "item_id", items, "id", "unknown_item", F.col("seq")),
-        missing_reference(labelled, "label", classes, "class_name", "unknown_class", F.col("seq")),
+        missing_reference(labelled, "label", classes, "class_name", "unknown_class", F.col("seq"), small=True),
         violation(updates.filter(status.isNotNull() & ~status.isin(*STATUSES)), "unknown_status", F.col("seq"), status),
     ])
 

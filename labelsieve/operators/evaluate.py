@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import seeded_digest
-from labelsieve.operators.checks import union_all
 from labelsieve.operators.encode import class_codes
-from labelsieve.operators.ranking import bucketed_rank, grouped_rank, hex_bucket, ordered_rank
-from labelsieve.session import small_table
+from labelsieve.operators.ranking import bucketed_rank, grouped_rank, hex_bucket
+from labelsieve.session import materialize, small_table
 
 # fixed values: review budgets of the validation protocol
 ABSOLUTE_BUDGETS = (10, 25, 50, 100)
@@ -115,10 +114,21 @@ def load_order_baseline(df: DataFrame, ordinal: str, error: str) -> DataFrame:
 
 
 def exact_percentile(df: DataFrame, column: str, fraction: float) -> Column:
-    """Interpolated percentile as a scalar, from distributed ranks: the values are never gathered in one place."""
-    ranked = ordered_rank(df.select(column).filter(F.col(column).isNotNull()), [F.col(column).asc()])
-    at = (ranked.agg(F.max("rank")).scalar() - 1) * F.lit(fraction)
-    around = ranked.filter((F.col("rank") - 1 == F.floor(at)) | (F.col("rank") - 1 == F.ceil(at)))
+    """Interpolated percentile as a scalar, from the positions of distinct values.
+
+    Equal values are counted before anything moves, so a value that most rows share is one row; the distinct values are
+    spread by range, and the counts of the partitions before give each value the positions that its rows take.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    placed = materialize(counted.repartitionByRange(column).withColumn("_shard", F.spark_partition_id()))
+    sizes = placed.groupBy("_shard").agg(F.sum("_n").alias("_size"))  # a row per partition
+    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_shard", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_shard").orderBy(column)
+    ends = placed.withColumn("_end", F.sum("_n").over(inside)).join(starts, "_shard").select(
+        column, (F.col("_start") + F.col("_end") - F.col("_n")).alias("_first"), (F.col("_start") + F.col("_end") - 1).alias("_last"))
+    at = (ends.agg(F.max("_last")).scalar()) * F.lit(fraction)
+    around = ends.filter((F.col("_first") <= F.ceil(at)) & (F.col("_last") >= F.floor(at)))
     low, high = F.min(column), F.max(column)
     return around.agg((low + (high - low) * F.max(at - F.floor(at)))).scalar()
 
@@ -130,8 +140,3 @@ def percentile_gate(df: DataFrame, score: str, injected: str, fraction: float =
         F.max(threshold).alias("threshold"), F.count("*").cast("long").alias("injected_items"),
         F.count_if(F.col(score) >= threshold).cast("long").alias("passed"),
     )
-
-
-def compare_rankings(rankings: dict[str, DataFrame]) -> DataFrame:
-    """Several metric tables as one, with the name of the ranking."""
-    return union_all([table.withColumn("ranking", F.lit(name)) for name, table in rankings.items()])

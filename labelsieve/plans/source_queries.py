@@ -243,6 +243,30 @@ def json_writeback(spark, d):
         "source_file", F.col("ordinal").cast("long").alias("ordinal"), "label", "class_id")
 
 
+@query("""
+WITH it AS (
+  SELECT o_custkey, o_orderstatus AS label, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal FROM orders
+)
+SELECT 'customer_' || o_custkey AS source_file, ordinal,
+       CASE WHEN o_custkey % 2 = 0 AND ordinal = 0 THEN 'fixed' ELSE label END AS label,
+       CASE WHEN o_custkey % 2 = 0 AND ordinal = 0 THEN 'modified' ELSE 'pending' END AS status
+FROM it
+""")
+def review_across_projects(spark, d):
+    """A project per customer, all loaded together; the first item of every other project is reviewed, by its id."""
+    file = F.to_json(F.struct(F.concat(F.lit("img/"), F.col("o_orderkey").cast("string")).alias("filePath"), F.col("o_orderstatus").alias("className")))
+    files = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", file.alias("file")))), lambda f: f["file"]), ",")
+    texts = views.table(spark, d, "orders").groupBy("o_custkey").agg(files.alias("files")).select(
+        F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("source_file"),
+        F.concat(F.lit('{"project": {"projectType": "classification", "projectFiles": ['), "files", F.lit("]}}")).alias("text"))
+    parsed, _ = json_project.parse_projects(texts)
+    items = json_project.project_items(json_project.flatten_projects(parsed))
+    even = F.regexp_extract("source_file", "([0-9]+)$", 1).cast("long") % 2 == 0
+    log = items.filter(even & (F.col("ordinal") == 0)).select(
+        F.col("ordinal").alias("seq"), F.col("id").alias("item_id"), F.lit("fixed").alias("label"), F.lit("modified").alias("status"))
+    return review.apply_state(items, review.current_state(log)).select("source_file", "ordinal", "label", "status")
+
+
 # ---------------------------------------------------------------- XML projects
 
 def _xml_texts(spark, d):

@@ -34,9 +34,3 @@ PUBLIC_COLUMNS = (
     "status", "original_label", "label_confidence", "neighbor_support", "analysis_state",
 )
 # --- end of fixed values ---
-
-ITEM_DDL = (
-    "source_file string, id string, ordinal bigint, relative_path string, original_label string, label string, "
-    "class_index bigint, status string, analysis_state string, suspicion_score double, "
-    "suggested_label string, label_confidence double, neighbor_support double, x double, y double"
-)

@@ -104,14 +104,16 @@ def archive_items(entries: DataFrame) -> DataFrame:
         inside, ["source_file", "_path"], "left").drop("_path")
 
 
-def read_archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, glob: str, max_bytes: int | None = None) -> DataFrame:
+    """(source_file, content); the content of files of more than ``max_bytes`` is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(F.col("path").alias("source_file"), "content")
+    kept = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    return kept.select(F.col("path").alias("source_file"), "content")
 
 
-def checked_archives(spark: SparkSession, path: str, glob: str) -> tuple[DataFrame, DataFrame]:
+def checked_archives(spark: SparkSession, path: str, glob: str, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, violations (rule, item, detail)): broken archives, and what is wrong in the projects of the others."""
-    entries = list_entries(read_archives(spark, path, glob))
+    entries = list_entries(read_archives(spark, path, glob, max_bytes))
     parsed, rejected = json_project.parse_projects(manifests(entries).select("source_file", "text"))
     return archive_items(entries), union_all([
         archive_violations(entries), violation(rejected, "rejected_project", F.col("source_file"), F.col("reason")),

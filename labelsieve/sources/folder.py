@@ -61,10 +61,17 @@ def folder_items(files: DataFrame, classes: Sequence[str] | None = None) -> Data
     ))
 
 
-def checked_folder(spark: SparkSession, root: str, classes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items, violations (rule, item, detail))."""
+def checked_folder(
+    spark: SparkSession, root: str, classes: Sequence[str] | None = None, max_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(items, violations (rule, item, detail)); an image of more than ``max_bytes`` is a violation and no item."""
     files = list_files(spark, root)
-    return folder_items(files, classes), folder_violations(files)
+    found = folder_violations(files)
+    if max_bytes is not None:
+        large = image_files(files).filter(F.col("length") > max_bytes)
+        found = found.unionByName(violation(large, "too_large", F.col("relative_path"), F.col("length")))
+        files = files.filter(F.col("length") <= max_bytes)
+    return folder_items(files, classes), found
 
 
 def load_folder(spark: SparkSession, root: str, classes: Sequence[str] | None = None) -> DataFrame:

@@ -16,15 +16,15 @@ _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 def json_problem(text: Column) -> Column:
     """NULL for strict JSON. Otherwise why not: bad syntax, repeated key or NaN; or a number too large for a double."""
+    return F.when(F.try_parse_json(text).isNull(), F.lit("not_strict_json")).otherwise(number_problem(text))
+
+
+def number_problem(text: Column) -> Column:
     bare = F.regexp_replace(text, _STRING_LITERAL, '""')
     numbers = F.regexp_extract_all(bare, F.lit(_NUMBER), F.lit(0))
     suspect = text.rlike(_MAY_OVERFLOW)
     too_large = suspect & F.exists(numbers, lambda n: F.abs(n.cast("double")) == F.lit(float("inf")))
-    return F.when(F.try_parse_json(text).isNull(), F.lit("not_strict_json")).when(too_large, F.lit("number_too_large"))
-
-
-def size_problem(length: Column, limit: int | None) -> Column:
-    return F.lit(None).cast("string") if limit is None else F.when(length > limit, F.lit("too_large"))
+    return F.when(too_large, F.lit("number_too_large"))
 
 
 def split_quarantine(df: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:

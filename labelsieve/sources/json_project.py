@@ -15,7 +15,7 @@ from labelsieve.functions.vectors import is_finite_number
 from labelsieve.operators.checks import identity_conflicts, row_violations, union_all, violation
 from labelsieve.schema import EMPTY_PROJECT_CLASS, IMAGE_LEVEL_TYPES, OCR_FALLBACK_CLASS
 from labelsieve.sources.common import canonical_items, read_texts
-from labelsieve.sources.guards import json_problem
+from labelsieve.sources.guards import number_problem
 
 COORDINATES = ("labelPosX", "labelPosY", "labelWidth", "labelHeight")
 _CLASS = "className string, classId variant, classColor string"
@@ -69,8 +69,10 @@ def structure_problem(text: Column) -> Column:
 
 def parse_projects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((source_file, project), rejected (source_file, reason)) of texts (source_file, text)."""
-    problem = F.coalesce(json_problem(F.col("text")), structure_problem(F.col("text")))
-    judged = with_column_once(texts, "reason", problem)
+    def problem(root: Column) -> Column:
+        return F.coalesce(F.when(root.isNull(), "not_strict_json"), number_problem(F.col("text")), _structure_of(root))
+
+    judged = with_column_once(texts, "reason", bind(F.try_parse_json("text"), problem))
     rejected = judged.filter(F.col("reason").isNotNull()).select("source_file", "reason")
     good = judged.filter(F.col("reason").isNull())
     parsed = with_column_once(good, "project", F.from_json("text", PROJECT)["project"])
@@ -202,9 +204,11 @@ def project_items(flat: DataFrame, source_prefix: str = "json-project") -> DataF
     return canonical_items(typed, box, F.col("_contours"), bag)
 
 
-def checked_json_projects(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+def checked_json_projects(
+    spark: SparkSession, path: str, glob: str = "*.json", max_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(items, violations (rule, item, detail)): rejected files, items that break a rule, conflicting classes."""
-    parsed, rejected = parse_projects(read_texts(spark, path, glob))
+    parsed, rejected = parse_projects(read_texts(spark, path, glob, max_bytes))
     flat = flatten_projects(parsed)
     return project_items(flat), union_all([
         violation(rejected, "rejected_project", F.col("source_file"), F.col("reason")),

@@ -24,8 +24,8 @@ def load_checked(
     """(items, violations (rule, item, detail)) of one project, or of a directory of many projects of one format.
 
     ``fmt`` is folder, xml, json or archive; by default it follows from the extension, and a path without one is a
-    labelled folder. A file that is no project gives a violation and no items; so does, with ``max_bytes``, a larger one
-    give a violation.
+    labelled folder. A file that is no project gives a violation and no items; so does, with ``max_bytes``, a larger one,
+    which is not even read.
     """
     extension = next((e for e in FORMATS if path.lower().endswith(e)), None)
     kind = fmt or (FORMATS[extension] if extension else None)
@@ -34,10 +34,10 @@ def load_checked(
             raise ValueError(f"unknown project format: {path}")
         kind = "folder"
     if kind == "folder":
-        return checked_folder(spark, path)
+        return checked_folder(spark, path, max_bytes=max_bytes)
     loader = {"xml": checked_xml_projects, "json": checked_json_projects, "archive": checked_archives}[kind]
     glob = "*" + next(e for e, name in FORMATS.items() if name == kind)
-    items, violations = loader(spark, path, glob)
+    items, violations = loader(spark, path, glob, max_bytes)
     if max_bytes is not None:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
         large = oversized(files.select(F.col("path").alias("source_file"), "length"), max_bytes)

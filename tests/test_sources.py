@@ -11,7 +11,7 @@ from labelsieve.operators import export, identity, review
 from labelsieve.operators.checks import ViolationError
 from labelsieve.sources import archive_project, folder, json_project, xml_project
 from labelsieve.sources.common import read_texts
-from labelsieve.sources.load import demo_items, load_items
+from labelsieve.sources.load import demo_items, load_checked, load_items
 
 
 def project(kind="det", infos=None, files=()):
@@ -48,8 +48,9 @@ def image_folder(tmp_path):
 
 def test_folder(spark, image_folder):
     rows = load_items(spark, str(image_folder)).orderBy("ordinal").collect()
-    assert [(r.id, r.relative_path, r.label, r.class_index) for r in rows] == [
-        ("0", "ng/b.JPG", "ng", 0), ("1", "ng/deep/c.webp", "ng", 0), ("2", "ok/a.jpg", "ok", 1)]
+    assert [(r.ordinal, r.relative_path, r.label, r.class_index) for r in rows] == [
+        (0, "ng/b.JPG", "ng", 0), (1, "ng/deep/c.webp", "ng", 0), (2, "ok/a.jpg", "ok", 1)]
+    assert len({r.id for r in rows}) == 3
     assert all(r.status == "pending" and r.suspicion_score is None and r.original_label == r.label for r in rows)
     with_empty = folder.load_folder(spark, str(image_folder), classes=["ok", "ng", "empty"]).orderBy("ordinal").collect()
     assert [r.class_index for r in with_empty] == [1, 1, 2]
@@ -315,3 +316,32 @@ def test_metadata_identity_and_fnv(spark):
         for at in range(0, len(units), 2):
             want = ((want ^ int.from_bytes(units[at:at + 2], "big")) * 16777619) % 2**32
         assert spark.createDataFrame([(text,)], "t string").select(fnv1a_32(F.col("t")).alias("h")).first().h == want
+
+
+PROJECT = '{"project": {"projectType": "classification", "projectFiles": [{"filePath": "a.png", "className": "ok"}, {"filePath": "b.png", "className": "ng"}]}}'
+
+
+def test_a_review_of_one_project_leaves_the_others_alone(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.json").write_text(PROJECT)
+    items = load_items(spark, str(tmp_path), "json")
+    rows = items.collect()
+    assert len({r.id for r in rows}) == len(rows) == 4
+    assert {r.id for r in load_items(spark, str(tmp_path), "json").collect()} == {r.id for r in rows}
+    chosen = next(r.id for r in rows if r.source_file.endswith("one.json") and r.ordinal == 0)
+    log = spark.createDataFrame([(1, chosen, "ng", "modified")], "seq long, item_id string, label string, status string")
+    after = review.apply_state(items, review.current_state(log)).collect()
+    assert [r.id for r in after if r.status == "modified"] == [chosen] and len(after) == 4
+
+
+def test_oversized_files_are_not_read(spark, tmp_path, image_folder):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "small.json").write_text(PROJECT)
+    (tmp_path / "p" / "large.json").write_text(PROJECT + " " * 1000)
+    items, violations = load_checked(spark, str(tmp_path / "p"), "json", max_bytes=500)
+    assert {r.source_file.rsplit("/", 1)[-1] for r in items.collect()} == {"small.json"}
+    assert [(r.rule, r.item.rsplit("/", 1)[-1]) for r in violations.collect()] == [("too_large", "large.json")]
+    (image_folder / "ok" / "big.png").write_bytes(b"x" * 400)
+    items, violations = load_checked(spark, str(image_folder), max_bytes=300)
+    assert "ok/big.png" not in {r.relative_path for r in items.collect()}
+    assert [(r.rule, r.item) for r in violations.collect()] == [("too_large", "ok/big.png")]
