@@ -2,15 +2,16 @@
 
 Exact search without a pair table. Equal vectors are merged first, so a huge group of copies costs one vector. The
 distinct vectors are spread over cells around hash-sampled pivots, and each cell is cut into blocks of bounded size.
-A block finds the neighbours inside itself; that gives every vector an upper bound, and by the triangle inequality
-only cells that can hold something nearer are visited. Blocks travel as packed matrices, a task multiplies two of
-them, and only the best k per vector leave it. With ``probes`` the cells to visit are the nearest pivots instead:
-approximate, for large inputs, with every vector still getting its k neighbours.
+A block finds the neighbours inside itself; that gives every vector an upper bound, and by the triangle inequality it
+is sent only to the cells that can hold something nearer. Visitors meet the blocks of a cell in a cogroup, and only the
+best k per vector leave it. With ``probes`` the cells to visit are the nearest pivots instead: approximate, for large
+inputs, with every vector still getting its k neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,20 @@ TABLE_CELLS = 1 << 24  # distance tables are made in slices of at most this many
 SLACK = 1e-6
 APPROXIMATE_PROBES = 8
 CANDIDATES = "array<struct<distance:double,neighbor_id:bigint,neighbor_label:bigint>>"
-PACKED = "cell int, block int, rows int, keys binary, matrix binary, ids binary, labels binary, bound binary, cells array<int>"
+PACKED = "cell int, block int, rows int, keys binary, matrix binary, ids binary, labels binary, bound binary"
+ROUTED = "m_cell int, rows int, keys binary, matrix binary, bound binary"
+TURN_ROWS = 1 << 14
 FOUND = "v1 bigint, v2 bigint, distance double, neighbor_id bigint, neighbor_label bigint"
 
 
+class Cells(NamedTuple):
+    """Pivots as unit rows, and of each pivot's cell the radius and the number of items."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
@@ -100,29 +111,8 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(place, T.StructType(df.schema.fields + columns))
 
 
-def _pack(
-    placed: DataFrame, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, keep: int, probes: int | None,
-    alone: bool = False,
-) -> DataFrame:
-    """One row per block: its matrix, a bound per vector and the cells its vectors have to visit."""
-
-    def to_visit(gaps: np.ndarray, worst: np.ndarray) -> np.ndarray:
-        """Which cells each vector needs: those within its bound, or its nearest ones that hold enough items."""
-        if probes is None:
-            return (gaps - radius) <= worst[:, None] + SLACK
-        ranked = np.argsort(gaps, axis=1, kind="stable")
-        reach = np.cumsum(size[ranked], axis=1)
-        needed = np.maximum(probes, (reach < keep).sum(axis=1) + 1)
-        visit = np.zeros(gaps.shape, dtype=bool)
-        np.put_along_axis(visit, ranked, np.arange(gaps.shape[1]) < needed[:, None], axis=1)
-        return visit
-
-    def packed(group, matrix, ids, labels, bound, cells) -> pd.DataFrame:
-        return pd.DataFrame([{
-            "cell": int(group["cell"].iloc[0]), "block": int(group["block"].iloc[0]), "rows": len(group),
-            "keys": group[["v1", "v2"]].to_numpy(np.int64).tobytes(), "matrix": matrix.tobytes(),
-            "ids": ids.tobytes(), "labels": labels.tobytes(), "bound": bound.tobytes(), "cells": cells,
-        }])
+def _pack(placed: DataFrame, keep: int) -> DataFrame:
+    """One row per block: its matrix, and for every vector how far its ``keep``-th nearest in the block is."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         matrix = _unit_rows(group["vec"])
@@ -131,29 +121,59 @@ def _pack(
         for at, copies in enumerate(group["copies"]):
             ids[at, : len(copies)] = [copy["id"] for copy in copies]
             labels[at, : len(copies)] = [copy["code"] for copy in copies]
-        worst = np.full(len(group), np.inf)
-        if alone:
-            return packed(group, matrix, ids, labels, worst, np.zeros(1, dtype=np.int32))
         row, distance, _, _ = _nearest(matrix, matrix, ids, labels, keep)
         last = np.searchsorted(row, np.arange(len(group)), side="right") - 1
         full = np.bincount(row, minlength=len(group)) >= keep
+        worst = np.full(len(group), np.inf)
         worst[full] = np.sqrt(2.0 * distance[last[full]])
-        visited = np.zeros(len(pivots), dtype=bool)
-        for part in _slices(len(matrix), len(pivots)):
-            gaps = np.sqrt(np.clip(2.0 - 2.0 * (matrix[part] @ pivots.T), 0.0, None))
-            visited |= to_visit(gaps, worst[part]).any(axis=0)
-        return packed(group, matrix, ids, labels, worst, np.flatnonzero(visited).astype(np.int32))
+        return pd.DataFrame([{
+            "cell": int(group["cell"].iloc[0]), "block": int(group["block"].iloc[0]), "rows": len(group),
+            "keys": group[["v1", "v2"]].to_numpy(np.int64).tobytes(), "matrix": matrix.tobytes(),
+            "ids": ids.tobytes(), "labels": labels.tobytes(), "bound": worst.tobytes(),
+        }])
 
     return placed.groupBy("cell", "block").applyInPandas(pack, PACKED)
 
 
-def _blocks(
-    distinct: DataFrame, count: int, width: int, block_rows: int, keep: int, probes: int | None
-) -> DataFrame:
+def _route(blocks: DataFrame, cells: Cells, width: int, keep: int, probes: int | None) -> DataFrame:
+    """The vectors that have to visit a cell, in packs by the block they come from (``ROUTED``).
+
+    A vector is sent to the cells that its own bound reaches by the triangle inequality, or, with ``probes``, to its
+    nearest ones that hold enough items; what is sent grows with the visits, not with blocks times cells.
+    """
+
+    def to_visit(gaps: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        if probes is None:
+            return (gaps - cells.radius) <= worst[:, None] + SLACK
+        ranked = np.argsort(gaps, axis=1, kind="stable")
+        reach = np.cumsum(cells.size[ranked], axis=1)
+        needed = np.maximum(probes, (reach < keep).sum(axis=1) + 1)
+        visit = np.zeros(gaps.shape, dtype=bool)
+        np.put_along_axis(visit, ranked, np.arange(gaps.shape[1]) < needed[:, None], axis=1)
+        return visit
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch.itertuples(index=False):
+                matrix, bound = np.frombuffer(block.matrix).reshape(-1, width), np.frombuffer(block.bound)
+                keys = np.frombuffer(block.keys, dtype=np.int64).reshape(-1, 2)
+                for part in _slices(len(matrix), len(cells.pivots)):
+                    gaps = np.sqrt(np.clip(2.0 - 2.0 * (matrix[part] @ cells.pivots.T), 0.0, None))
+                    visit = to_visit(gaps, bound[part])
+                    for cell in np.flatnonzero(visit.any(axis=0)):
+                        goes = visit[:, cell]
+                        yield pd.DataFrame([{
+                            "m_cell": int(cell), "rows": int(goes.sum()), "keys": keys[part][goes].tobytes(),
+                            "matrix": matrix[part][goes].tobytes(), "bound": bound[part][goes].tobytes()}])
+
+    return blocks.select("keys", "matrix", "bound").mapInPandas(route, ROUTED)
+
+
+def _blocks(distinct: DataFrame, count: int, width: int, block_rows: int, keep: int) -> tuple[DataFrame, Cells]:
     """Packed blocks of at most about ``block_rows`` vectors, in as many cells as full blocks are expected."""
     if count <= block_rows:
         single = distinct.withColumns({"cell": F.lit(0), "block": F.lit(0)})
-        return _pack(single, np.zeros((1, width)), np.zeros(1), np.zeros(1), keep, None, alone=True)
+        return materialize(_pack(single, keep)), Cells(np.zeros((1, width)), np.full(1, np.inf), np.ones(1, dtype=np.int64))
     wanted = min(-(-count // block_rows), PIVOT_LIMIT, max(1, PIVOT_BYTES // (8 * width)))
     sample = distinct.orderBy("v1", "v2").limit(wanted).collect()
     pivots = _unit_rows(pd.Series([row.vec for row in sample]))
@@ -169,27 +189,39 @@ def _blocks(
         distinct.sparkSession.createDataFrame([(cell, int(cuts[cell])) for cell in range(wanted)], "cell int, cut int")
     )
     blocks = placed.join(cut, "cell").withColumn("block", F.pmod("v2", "cut").cast("int")).drop("cut")
-    return _pack(blocks, pivots, radius, size, keep, probes)
+    return materialize(_pack(blocks, keep)), Cells(pivots, radius, size)
 
 
-def _search(pairs: DataFrame, keep: int, width: int) -> DataFrame:
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pair in batch.itertuples(index=False):
-                queries = np.frombuffer(pair.matrix).reshape(-1, width)
-                members = np.frombuffer(pair.m_matrix).reshape(-1, width)
-                ids = np.frombuffer(pair.m_ids, dtype=np.int64).reshape(-1, keep)
-                labels = np.frombuffer(pair.m_labels, dtype=np.int64).reshape(-1, keep)
-                row, distance, item, label = _nearest(queries, members, ids, labels, keep)
-                bound = np.frombuffer(pair.bound)[row]
-                useful = np.sqrt(2.0 * distance) <= bound + SLACK
-                keys = np.frombuffer(pair.keys, dtype=np.int64).reshape(-1, 2)[row[useful]]
-                yield pd.DataFrame({
-                    "v1": keys[:, 0], "v2": keys[:, 1], "distance": distance[useful],
-                    "neighbor_id": item[useful], "neighbor_label": label[useful],
-                })
-
-    return pairs.mapInPandas(search, FOUND)
+def _search(blocks: DataFrame, routed: DataFrame, keep: int, width: int) -> DataFrame:
+    """Best ``keep`` of every visited block for every visiting vector.
+
+    Packs of visitors meet the blocks of their cell in a cogroup; a block that many visit is read again for every
+    ``TURN_ROWS`` of them, so no group grows with the popularity of a cell.
+    """
+    homes = blocks.select(F.col("cell").alias("m_cell"), F.col("block").alias("m_block"))
+    order = Window.partitionBy("m_cell", "m_block").orderBy("_pack").rowsBetween(Window.unboundedPreceding, -1)
+    visits = routed.withColumn("_pack", F.monotonically_increasing_id()).join(homes, "m_cell")
+    visits = visits.withColumn("turn", F.floor(F.coalesce(F.sum("rows").over(order), F.lit(0)) / TURN_ROWS)).drop("_pack", "rows")
+    visits = materialize(visits)
+    turns = visits.select(*[F.col(c).alias(f"t_{c}") for c in ("m_cell", "m_block", "turn")]).distinct()
+    members = turns.join(
+        blocks.select(F.col("cell").alias("t_m_cell"), F.col("block").alias("t_m_block"), "matrix", "ids", "labels"), ["t_m_cell", "t_m_block"])
+
+    def search(held: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
+        block, found = held.iloc[0], []
+        members = np.frombuffer(block["matrix"]).reshape(-1, width)
+        ids, labels = (np.frombuffer(block[c], dtype=np.int64).reshape(-1, keep) for c in ("ids", "labels"))
+        for pack in packs.itertuples(index=False):
+            queries = np.frombuffer(pack.matrix).reshape(-1, width)
+            row, distance, item, label = _nearest(queries, members, ids, labels, keep)
+            useful = np.sqrt(2.0 * distance) <= np.frombuffer(pack.bound)[row] + SLACK
+            keys = np.frombuffer(pack.keys, dtype=np.int64).reshape(-1, 2)[row[useful]]
+            found.append(pd.DataFrame({
+                "v1": keys[:, 0], "v2": keys[:, 1], "distance": distance[useful],
+                "neighbor_id": item[useful], "neighbor_label": label[useful]}))
+        return pd.concat(found)
+
+    return members.groupBy("t_m_cell", "t_m_block", "t_turn").cogroup(visits.groupBy("m_cell", "m_block", "turn")).applyInPandas(search, FOUND)
 
 
 def _literal_candidates(rows: list) -> Column:
@@ -224,24 +256,8 @@ def neighbor_lists(
     parts = []
     if count:
         block_rows = max(keep, block_bytes // (8 * width))
-        blocks = _blocks(distinct, count, width, block_rows, keep, probes)
-        members = {"matrix": "m_matrix", "ids": "m_ids", "labels": "m_labels"}
-        renamed = [F.col(name).alias(alias) for name, alias in members.items()]
-        if count <= block_rows:
-            pairs = blocks.select("keys", "matrix", "bound", *renamed)
-        else:
-            blocks = materialize(blocks)
-            homes = blocks.select(F.col("cell").alias("m_cell"), F.col("block").alias("m_block"))
-            visits = blocks.select("cell", "block", F.explode("cells").alias("m_cell")).join(homes, "m_cell")
-            pairs = (
-                visits.join(blocks.select("cell", "block", "keys", "matrix", "bound"), ["cell", "block"])
-                .drop("cell", "block")
-                .join(
-                    blocks.select(F.col("cell").alias("m_cell"), F.col("block").alias("m_block"), *renamed),
-                    ["m_cell", "m_block"],
-                )
-            )
-        found = _search(pairs, keep, width)
+        blocks, cells = _blocks(distinct, count, width, block_rows, keep)
+        found = _search(blocks, materialize(_route(blocks, cells, width, keep, probes)), keep, width)
         best = Window.partitionBy("v1", "v2").orderBy("distance", "neighbor_id")
         merged = (
             found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= keep)
