@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.control import bind
@@ -25,6 +25,9 @@ from labelsieve.schema import CENTROID_TEMPERATURE
 from labelsieve.session import materialize, small_table
 
 CENTROID_FLOOR = 1e-8
+TILE_CLASSES = 512
+TILE_COPIES = 32
+BLOCK_ROWS = 1024
 
 
 def centroids(df: DataFrame, code: str, unit: str) -> DataFrame:
@@ -61,6 +64,80 @@ def with_centroid_probability(df: DataFrame, vector: str, matrix: np.ndarray, ou
     return df.withColumn(out, softmax(F.col(vector)))
 
 
+def class_tiles(units: DataFrame, code: str, unit: str, tile_classes: int = TILE_CLASSES) -> DataFrame:
+    """(tile, codes, centroids): the centroids of neighbouring class codes, packed; tiles count from 0."""
+    numbered = centroids(units, code, unit).select(
+        F.floor(F.col(code) / tile_classes).cast("int").alias("tile"), F.struct(F.col(code).cast("long").alias("code"), "centroid").alias("_c"))
+    packed = numbered.groupBy("tile").agg(F.array_sort(F.collect_list("_c")).alias("_cs"))  # at most ``tile_classes`` of them
+    return packed.select("tile", F.col("_cs.code").alias("codes"), F.flatten("_cs.centroid").alias("centroids"))
+
+
+def _row_blocks(df: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (id, vec, wanted) packed by partition: (ids, sizes, wanted, matrix), wanted codes of all rows in one list."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), block_rows):
+                part = batch.iloc[begin:begin + block_rows]
+                matrix = np.stack(list(part["vec"])).astype(np.float64)
+                length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                yield pd.DataFrame([{
+                    "ids": part["id"].to_numpy(np.int64), "sizes": part["wanted"].map(len).to_numpy(np.int32),
+                    "wanted": np.concatenate(list(part["wanted"])).astype(np.int64), "matrix": (matrix / np.where(length > 0, length, 1.0)).tobytes()}])
+
+    return df.select("id", "vec", "wanted").mapInPandas(pack, "ids array<bigint>, sizes array<int>, wanted array<bigint>, matrix binary")
+
+
+def sparse_centroid_probability(
+    df: DataFrame, code: str, vector: str, wanted: Column, tile_classes: int = TILE_CLASSES, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, likeliest, peak, shares): softmax of 8 x cosine to the centroids of all classes, for the classes that matter.
+
+    ``likeliest`` is the most probable class (the lowest code on a tie), ``peak`` its probability, ``shares`` an array of
+    (code, p) for the distinct codes in ``wanted``. Blocks of rows meet tiles of classes; each meeting gives a row's
+    greatest logit and the sum of exponentials below it, and these merge over the tiles. So no row holds a value for every
+    class, no class table passes the driver, and one tile, the usual case, needs no merge of more than one row.
+    """
+    units = df.select(F.col(code).alias("code"), l2_normalize(F.col(vector)).alias("unit"))
+    tiles = materialize(class_tiles(units, "code", "unit", tile_classes))
+    count = tiles.count()
+    rows = df.select("id", F.col(vector).alias("vec"), F.array_distinct(wanted).cast("array<bigint>").alias("wanted"))
+    blocks = _row_blocks(rows, block_rows).withColumns({
+        "tile": F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))), "copy": F.pmod(F.xxhash64("ids"), F.lit(TILE_COPIES)).cast("int")})
+    copied = tiles.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(TILE_COPIES - 1))))  # many blocks meet a tile: not all in one task
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch.itertuples(index=False):
+                ids, codes = np.asarray(block.ids), np.asarray(block.codes)
+                matrix = np.frombuffer(block.matrix).reshape(len(ids), -1)
+                logits = matrix @ np.asarray(block.centroids).reshape(len(codes), -1).T * CENTROID_TEMPERATURE
+                best = logits.argmax(axis=1)  # codes ascend, so the first of equal ones is the lowest
+                top = logits[np.arange(len(ids)), best]
+                owner, wanted = np.repeat(np.arange(len(ids)), block.sizes), np.asarray(block.wanted)
+                place = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+                here = codes[place] == wanted
+                found = [[] for _ in range(len(ids))]
+                for row, name, value in zip(owner[here], wanted[here], logits[owner[here], place[here]]):
+                    found[row].append({"code": int(name), "logit": float(value)})
+                yield pd.DataFrame({
+                    "id": ids, "best": codes[best], "top": top, "rest": np.exp(logits - top[:, None]).sum(axis=1), "found": found})
+
+    met = blocks.join(copied, ["tile", "copy"]).select("ids", "sizes", "wanted", "matrix", "codes", "centroids").mapInPandas(
+        meet, "id bigint, best bigint, top double, rest double, found array<struct<code:bigint,logit:double>>")
+    parts = met.groupBy("id").agg(
+        F.collect_list(F.struct("top", (-F.col("best")).alias("low"), "rest", "found")).alias("_p"))  # a row per tile
+    peak = F.array_max(F.transform("_p", lambda p: F.struct(p["top"], p["low"])))
+
+    def merged(best: Column) -> Column:
+        total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["rest"] * F.exp(p["top"] - best["top"]))
+        shares = bind(total, lambda whole: F.transform(F.flatten(F.transform("_p", lambda p: p["found"])), lambda w: F.struct(
+            w["code"].alias("code"), (F.exp(w["logit"] - best["top"]) / whole).alias("p"))))
+        return F.struct((-best["low"]).alias("likeliest"), (F.lit(1.0) / total).alias("peak"), shares.alias("shares"))
+
+    return parts.select("id", bind(peak, merged).alias("_m")).select("id", "_m.*")
+
+
 def out_of_fold_probability(
     df: DataFrame, item: str, code: str, features: str, classes: int, folds: int,
     max_iter: int = 1200, tol: float = 1e-6, seed: int = 42, out: str = "probability",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.control import bind
-from labelsieve.functions.vectors import has_non_finite, is_finite_number, l2_normalize
-from labelsieve.operators.classify import centroid_matrix, out_of_fold_probability, with_centroid_probability
+from labelsieve.functions.vectors import has_non_finite, is_finite_number
+from labelsieve.operators.classify import out_of_fold_probability, sparse_centroid_probability
 from labelsieve.operators.encode import class_codes, class_encode, class_summary
 from labelsieve.operators.neighbors import APPROXIMATE_PROBES, neighbor_lists
 from labelsieve.schema import CLASSIFIER_WEIGHT, DISTANCE_OFFSET, NEIGHBOR_WEIGHT, NEIGHBORS
@@ -41,7 +41,16 @@ def share_of(shares: Column, code: Column) -> Column:
 
 
 def at(probability: Column, code: Column) -> Column:
-    return F.element_at(probability, (code + 1).cast("int"))
+    """Probability of a class that ``shares`` of a sparse probability holds."""
+    return F.try_element_at(F.filter(probability["shares"], lambda s: s["code"] == code), F.lit(1))["p"]
+
+
+def sparse_of(dense: Column, code: Column, neighbors: Column) -> Column:
+    """(likeliest, peak, shares of the own and the voted classes) of an array with one value per class."""
+    codes = F.array_distinct(F.concat(F.array(code), F.transform(neighbors, lambda n: n["neighbor_label"])))
+    peak = F.array_max(dense)
+    shares = F.transform(codes, lambda c: F.struct(c.alias("code"), F.element_at(dense, (c + 1).cast("int")).alias("p")))
+    return F.struct((F.array_position(dense, peak) - 1).cast("long").alias("likeliest"), peak.alias("peak"), shares.alias("shares"))
 
 
 def blend_at(probability: Column, shares: Column, code: Column) -> Column:
@@ -59,21 +68,19 @@ def best_blend(probability: Column, shares: Column) -> Column:
 
     voted = F.transform(shares, lambda s: entry(
         at(probability, s["code"]) * F.lit(CLASSIFIER_WEIGHT) + s["share"] * F.lit(NEIGHBOR_WEIGHT), s["code"]))
-    peak = F.array_max(probability)
-    likeliest = (F.array_position(probability, peak) - 1).cast("long")
-    unvoted = F.array(entry(peak * F.lit(CLASSIFIER_WEIGHT), likeliest))
+    unvoted = F.array(entry(probability["peak"] * F.lit(CLASSIFIER_WEIGHT), probability["likeliest"]))
     return -F.array_max(F.concat(voted, unvoted))["low"]
 
 
 def score_rows(df: DataFrame) -> DataFrame:
     """(id, code, probability, neighbors) -> scores, computed inside the row: no shuffle.
 
-    Without any neighbour the probabilities stand in for the vote.
+    ``probability`` is sparse: (likeliest, peak, shares). Without any neighbour the probabilities stand in for the vote.
     """
     rows = df.withColumn("_shares", vote_shares(F.col("neighbors")))
     own, probability, shares = F.col("code"), F.col("probability"), F.col("_shares")
     lonely = F.size("neighbors") == 0
-    likeliest = (F.array_position(probability, F.array_max(probability)) - 1).cast("long")
+    likeliest = probability["likeliest"]
     judged = rows.select(
         "id", "code",
         F.when(lonely, likeliest).otherwise(best_blend(probability, shares)).alias("suggested_code"),
@@ -120,14 +127,16 @@ def suspicion_scores(
     )
     lists = neighbor_lists(encoded, "id", "vec", "code", probes=probes if neighbors == "approximate" else None)
     if classifier == "centroid":
-        unit = encoded.withColumn("unit", l2_normalize(F.col("vec")))
-        matrix = centroid_matrix(unit, "code", "unit", summary.classes)
-        rows = with_centroid_probability(lists, "vec", matrix)
+        lists = materialize(lists)
+        voted = F.concat(F.array("code"), F.transform("neighbors", lambda n: n["neighbor_label"]))
+        sparse = sparse_centroid_probability(lists, "code", "vec", voted)
+        rows = lists.drop("vec").join(sparse.withColumn("probability", F.struct("likeliest", "peak", "shares")), "id")
     else:
         predicted = out_of_fold_probability(
             encoded, "id", "code", "vec", summary.classes, summary.folds, **classifier_options
         )
-        rows = lists.drop("vec").join(predicted.select("id", "probability"), "id")
+        joined = lists.drop("vec").join(predicted.select("id", "probability"), "id")
+        rows = joined.withColumn("probability", sparse_of(F.col("probability"), F.col("code"), F.col("neighbors")))
     names = codes.select(F.col("code").alias("_code"), label)
     own = names.select(F.col("_code").alias("code"), F.col(label).alias("label"))
     suggested = names.select(F.col("_code").alias("suggested_code"), F.col(label).alias("suggested_label"))

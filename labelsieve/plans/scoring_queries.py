@@ -140,6 +140,17 @@ def review_queue_centroid(spark, d):
     return _queue(scoring.suspicion_scores(views.embedding_items(spark, d), "ordinal", "label", "features", "centroid"))
 
 
+@query("""
+SELECT CAST(id AS VARCHAR) AS id, label, round(score, 6) AS score, suggested_label, round(confidence, 6) AS confidence,
+       round(support, 6) AS support
+FROM scored
+""", (sql.SCORES.replace("'class_' || label AS label", "'class_' || (vec_id % 1200) AS label"),))
+def review_queue_many_classes(spark, d):
+    """More classes than one tile holds: no row carries a probability for every class."""
+    items = views.embedding_items(spark, d).withColumn("label", F.concat(F.lit("class_"), (F.col("ordinal") % 1200).cast("string")))
+    return _queue(scoring.suspicion_scores(items, "ordinal", "label", "features", "centroid"))
+
+
 @query()
 def review_queue_logreg(spark, d):
     return _queue(scoring.suspicion_scores(views.embedding_items(spark, d), "ordinal", "label", "features", "logreg"))

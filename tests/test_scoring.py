@@ -148,3 +148,29 @@ def test_scores_do_not_depend_on_partitioning(spark):
     one = scoring.suspicion_scores(items.coalesce(1), "id", "label", "features", "centroid").collect()
     many = scoring.suspicion_scores(items.repartition(9), "id", "label", "features", "centroid").collect()
     assert {r.id: round(r.score, 9) for r in one} == {r.id: round(r.score, 9) for r in many}
+
+
+@pytest.mark.parametrize("tile_classes", [3, 512])
+def test_sparse_class_probabilities_equal_the_softmax(spark, tile_classes):
+    rng = np.random.default_rng(8)
+    vectors, codes = rng.normal(size=(60, 5)), np.arange(60) % 10
+    vectors[7] = 0.0
+    df = spark.createDataFrame([(n, int(c), [float(x) for x in v]) for n, (c, v) in enumerate(zip(codes, vectors))], "id long, code long, vec array<double>").repartition(3)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+    means = np.stack([unit[codes == c].mean(axis=0) for c in range(10)])
+    logits = unit @ (means / np.linalg.norm(means, axis=1, keepdims=True)).T * 8
+    want = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    wanted = F.array(F.col("code"), (F.col("code") + 4) % 10, F.col("code"))
+    rows = classify.sparse_centroid_probability(df, "code", "vec", wanted, tile_classes, block_rows=16).collect()
+    assert len(rows) == 60
+    for r in rows:
+        assert r.peak == pytest.approx(want[r.id].max()) and want[r.id][r.likeliest] == pytest.approx(r.peak)
+        assert {s.code: pytest.approx(s.p) for s in r.shares} == {c: want[r.id][c] for c in (codes[r.id], (codes[r.id] + 4) % 10)}
+
+
+def test_ten_thousand_classes(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 10_000).alias("code"), F.array(*[F.sin((F.col("id") % 10_000) * k) for k in range(1, 7)]).alias("vec"))
+    rows = classify.sparse_centroid_probability(df, "code", "vec", F.array("code"))
+    assert rows.columns == ["id", "likeliest", "peak", "shares"]
+    found = rows.agg(F.count("*"), F.count_if(F.abs(F.get("shares", F.lit(0))["p"] - F.col("peak")) < 1e-9), F.max(F.size("shares"))).first()
+    assert tuple(found) == (20_000, 20_000, 1)
