@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ CENTROID_FLOOR = 1e-8
 TILE_CLASSES = 512
 TILE_COPIES = 32
 BLOCK_ROWS = 1024
+PARALLEL_FITS = 2
 
 
 def centroids(df: DataFrame, code: str, unit: str) -> DataFrame:
@@ -138,41 +140,93 @@ def sparse_centroid_probability(
     return parts.select("id", bind(peak, merged).alias("_m")).select("id", "_m.*")
 
 
-def out_of_fold_probability(
-    df: DataFrame, item: str, code: str, features: str, classes: int, folds: int,
-    max_iter: int = 1200, tol: float = 1e-6, seed: int = 42, out: str = "probability",
-) -> DataFrame:
-    """Each fold is predicted by a model fitted on the others.
+class FoldModels(NamedTuple):
+    """``data``: the rows with ``fold``, ``_vector`` and ``_weights``, a weight for every model; ``models`` by fold;
+    ``train_rows`` of each."""
+
+    data: DataFrame
+    models: list
+    train_rows: list[int]
+
+
+def fit_folds(
+    df: DataFrame, item: str, code: str, features: str, folds: int,
+    max_iter: int = 1200, tol: float = 1e-6, seed: int = 42, parallel: int = PARALLEL_FITS,
+) -> FoldModels:
+    """A logistic regression for every fold, fitted on the rows of the other folds.
 
     Same objective as an L2 logistic regression with C=1 and balanced weights: these weights sum to the number of
-    training rows m, so the penalty per row is 1/m, on unscaled features. The folds are fitted side by side.
+    training rows m, so the penalty per row is 1/m, on unscaled features. All fits read one table, in which a row has a
+    weight for each model, 0 for that of its own fold; at most ``parallel`` of them run and hold their instances at a time.
     """
     unit = array_to_vector(l2_normalize(F.col(features)))
-    data = materialize(stratified_folds(df, code, item, folds, seed).withColumn("_vector", unit))
-    weights = small_table(class_weights(data, code, "fold", folds).withColumnRenamed("fold", "_for"))
-    sums = weights.groupBy("_for").agg(F.sum("train_rows").alias("m")).collect()
-    train_rows = {row["_for"]: row["m"] for row in sums}
+    dealt = stratified_folds(df, code, item, folds, seed).withColumn("_vector", unit)
+    weights = small_table(class_weights(dealt, code, "fold", folds).withColumnRenamed("fold", "_for"))
+    sums = {row["_for"]: row["m"] for row in weights.groupBy("_for").agg(F.sum("train_rows").alias("m")).collect()}
+    by_class = weights.groupBy(code).agg(F.map_from_entries(F.collect_list(F.struct("_for", "weight"))).alias("_by_fold"))
+    every = F.array(*[
+        F.when(F.col("fold") == k, 0.0).otherwise(F.coalesce(F.try_element_at("_by_fold", F.lit(k).cast("long")), F.lit(0.0))) for k in range(folds)])
+    data = materialize(dealt.join(small_table(by_class), code).withColumn("_weights", every).drop("_by_fold"))
 
     def fit(fold: int):
-        train = data.filter(F.col("fold") != fold).join(
-            weights.filter(F.col("_for") == fold).select(code, "weight"), code
-        ).select(F.col(code).cast("double").alias("_label"), "_vector", "weight")
+        train = data.select(F.col(code).cast("double").alias("_label"), "_vector", F.get("_weights", F.lit(fold)).alias("weight"))
         return LogisticRegression(
             featuresCol="_vector", labelCol="_label", weightCol="weight", predictionCol="_prediction",
-            rawPredictionCol="_raw", probabilityCol="_probability", regParam=1.0 / train_rows[fold],
+            rawPredictionCol="_raw", probabilityCol="_probability", regParam=1.0 / sums[fold],
             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol,
         ).fit(train)
 
-    spark = df.sparkSession
-    pool = ThreadPool(folds)
+    pool = ThreadPool(min(parallel, folds))
     try:
-        models = pool.map(inheritable_thread_target(spark)(fit), range(folds))
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(folds), chunksize=1)
     finally:
         pool.close()
+    return FoldModels(data, models, [sums[k] for k in range(folds)])
+
+
+def out_of_fold_probability(
+    df: DataFrame, item: str, code: str, features: str, classes: int, folds: int, out: str = "probability", **options,
+) -> DataFrame:
+    """Each fold is predicted by the model fitted on the others (``fit_folds``, which takes the ``options``)."""
+    fitted = fit_folds(df, item, code, features, folds, **options)
     zeros = F.array_repeat(F.lit(0.0), classes)
     predicted = []
-    for fold, model in enumerate(models):
-        held = model.transform(data.filter(F.col("fold") == fold))
+    for fold, model in enumerate(fitted.models):
+        held = model.transform(fitted.data.filter(F.col("fold") == fold))
         full = F.slice(F.concat(vector_to_array("_probability"), zeros), 1, classes)
         predicted.append(held.withColumn(out, full).drop("_raw", "_probability", "_prediction"))
-    return union_all(predicted).drop("_vector", "fold")
+    return union_all(predicted).drop("_vector", "_weights", "fold")
+
+
+def gradient_norms(fitted: FoldModels, code: str) -> list[float]:
+    """By fold the length of the objective's gradient at the fitted model; 0 at the optimum.
+
+    The gradient is summed over the training rows where they are, as one vector per partition.
+    """
+    norms = []
+    for fold, model in enumerate(fitted.models):
+        classes, width = model.numClasses, model.numFeatures
+        weighted = fitted.data.withColumn("_w", F.get("_weights", F.lit(fold))).filter("_w > 0")
+        rows = model.transform(weighted).select(
+            F.col(code).cast("long").alias("c"), "_w", vector_to_array("_probability").alias("p"), vector_to_array("_vector").alias("x"))
+
+        def sums(batches: Iterator[pd.DataFrame], shape=(classes, width + 1)) -> Iterator[pd.DataFrame]:
+            total, mass = np.zeros(shape), 0.0
+            for batch in batches:
+                if len(batch):
+                    p, x, w = np.stack(list(batch["p"])), np.stack(list(batch["x"])), batch["_w"].to_numpy()
+                    p = p.copy()
+                    p[np.arange(len(p)), batch["c"]] -= 1.0
+                    total += (p * w[:, None]).T @ np.column_stack([x, np.ones(len(x))])
+                    mass += w.sum()
+            yield pd.DataFrame([{"g": np.append(total.ravel(), mass)}])
+
+        parts = rows.mapInPandas(sums, "g array<double>").select(Summarizer.sum(array_to_vector("g")).alias("s")).first().s.toArray()
+        slope = parts[:-1].reshape(classes, width + 1) / max(parts[-1], 1e-300)
+        if classes == 2 and model.coefficientMatrix.numRows == 1:
+            slope, coefficients = slope[1:], model.coefficientMatrix.toArray()
+        else:
+            coefficients = model.coefficientMatrix.toArray()
+        slope[:, :width] += coefficients / fitted.train_rows[fold]
+        norms.append(float(np.sqrt((slope * slope).sum())))
+    return norms

@@ -122,6 +122,19 @@ def oof_logreg(spark, d):
         "id", F.col("code").cast("long").alias("code"), r6("p").alias("p"))
 
 
+@query("""
+SELECT f.fold, count(*) FILTER (f.fold <> g.fold) AS train_rows, true AS optimal
+FROM (SELECT unnest(range(5)) AS fold) f, f AS g GROUP BY f.fold
+""".replace(", f AS g", ", dealt AS g"), (sql.EMBEDDING_ITEMS, _FOLDS.replace("f AS (", "dealt AS (")))
+def oof_logreg_optimality(spark, d):
+    """The model of every fold is the optimum of its objective: its gradient, summed over its training rows, vanishes."""
+    encoded, codes = _encoded(spark, d)
+    fitted = classify.fit_folds(encoded, "id", "code", "vec", encode.class_summary(codes).first().folds)
+    norms = classify.gradient_norms(fitted, "code")
+    return spark.createDataFrame(
+        [(fold, rows, norm < 1e-4) for fold, (rows, norm) in enumerate(zip(fitted.train_rows, norms))], "fold long, train_rows long, optimal boolean")
+
+
 def _queue(scores):
     named = scores.select(F.col("id").cast("string").alias("id"), "label", F.col("score").alias("suspicion_score"),
                           "suggested_label", "confidence", "support")
