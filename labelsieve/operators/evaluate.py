@@ -62,16 +62,17 @@ def metrics(hits: Column, k: Column, errors: Column, n: Column) -> dict[str, Col
     }
 
 
-def at_budgets(ranked: DataFrame, error: str, groups: Sequence[str]) -> DataFrame:
+def at_budgets(ranked: DataFrame, error: str, groups: Sequence[str], totals: DataFrame | None = None) -> DataFrame:
     """Metrics of a ranked table (groups.., rank, error flag) at every budget.
 
+    ``totals`` (groups.., n, errors) are needed if ``ranked`` holds only the first rows of an order.
+
     One aggregation counts the hits of all budgets: an error falls into the smallest budget that includes it, and a sum
     over the few budgets of a group does the rest.
     """
     keys = list(groups)
-    totals = ranked.groupBy(*keys).agg(
-        F.count("*").cast("long").alias("n"), F.sum(F.col(error).cast("long")).alias("errors")
-    )
+    if totals is None:
+        totals = ranked.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), F.sum(F.col(error).cast("long")).alias("errors"))
     table = small_table(budgets(totals))
     limits = table.groupBy(*keys).agg(F.array_sort(F.collect_set("k")).alias("_ks"))
     slot = F.try_element_at(F.filter("_ks", lambda k: k >= F.col("rank")), F.lit(1))
@@ -95,11 +96,26 @@ def metrics_by_class(df: DataFrame, item: str, score: str, error: str, group: st
 
 
 def random_baseline(df: DataFrame, item: str, error: str, seeds: Sequence[int]) -> DataFrame:
-    """(budget, k, mean_tp, low_tp, high_tp): hits of random orders over several seeds, with a 5..95 % interval."""
+    """(budget, k, mean_tp, low_tp, high_tp): hits of random orders over several seeds, with a 5..95 % interval.
+
+    Only the rows that a random order puts inside the largest budget matter. Their digests lie below a threshold that
+    leaves a margin of six standard deviations, so of each order little more than that budget is shuffled; should an order
+    have fewer rows below the threshold than the budget, all orders are ranked whole.
+    """
+    whole = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(error).cast("long")), F.lit(0)).alias("errors")).first()
+    largest = max([k for k in ABSOLUTE_BUDGETS if k <= whole.n] + [-(-whole.n * p // 100) for p in RELATIVE_BUDGETS] + [0])
+    share = largest / max(whole.n, 1)
+    share += 6 * (share / max(whole.n, 1)) ** 0.5
     rows = df.select(F.col(item), F.col(error)).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     hashed = rows.withColumn("_digest", seeded_digest(F.col(item), F.col("seed")))
-    ranked = bucketed_rank(hashed, ["seed"], hex_bucket(F.col("_digest")), [F.col("_digest"), F.col(item)])
-    per_seed = at_budgets(ranked.select("seed", "rank", error), error, ["seed"])
+    first = hashed
+    if share < 1:
+        first = hashed.filter(F.substring("_digest", 1, 8) < F.lit(f"{int(share * 16 ** 8):08x}"))
+        enough = first.groupBy("seed").count().filter(F.col("count") >= largest).count()
+        first = first if enough == len(set(seeds)) else hashed
+    ranked = bucketed_rank(first, ["seed"], hex_bucket(F.col("_digest")), [F.col("_digest"), F.col(item)])
+    totals = df.sparkSession.createDataFrame([(int(s), whole.n, whole.errors) for s in sorted(set(seeds))], "seed int, n long, errors long")
+    per_seed = at_budgets(ranked.select("seed", "rank", error), error, ["seed"], totals if whole.n else totals.limit(0))
     return per_seed.groupBy("budget", "k").agg(
         F.avg("tp").alias("mean_tp"),
         F.percentile("tp", F.lit(0.05)).alias("low_tp"),
