@@ -383,6 +383,41 @@ def archive_rules(spark, d):
     return archive_project.archive_violations(archive_project.list_entries(_archives(spark, d)))
 
 
+@F.pandas_udf(T.BinaryType())
+def _fixed_zip(number: pd.Series, kind: pd.Series, text: pd.Series, rewritten: pd.Series) -> pd.Series:
+    """An archive of two entries; ``rewritten`` loses or changes something that depends on the language."""
+    def build(doc, lang, body, again):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as archive:
+            for name, data in (("project.json", "{}" if again else "{ }"), (f"images/{doc}.txt", body)):
+                if again and lang == "es" and name != "project.json":
+                    name = f"images/{doc}.TXT"
+                info = zipfile.ZipInfo(name, (2001, 2, 3, 4, 5, 6 if again and lang == "de" else 8))
+                info.external_attr = 0 if again and lang == "de" and name == "project.json" else 1 << 16
+                archive.writestr(info, data + "!" if again and lang == "fr" else data)
+            archive.comment = b"new" if again and lang == "en" else b"old"
+        return buffer.getvalue()
+
+    return pd.Series([build(*row) for row in zip(number, kind, text, rewritten)])
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS source_file, c.entry, c.problem FROM documents, (VALUES
+  ('en', NULL, 'archive_comment'), ('es', 'images', 'layout'), ('fr', 'images', 'size'), ('de', 'project.json', 'attribute:date_time'),
+  ('de', 'images', 'attribute:date_time'), ('de', 'project.json', 'attribute:external_attr')) c(lang, kind, problem)
+WHERE documents.lang = c.lang
+""".replace("c.entry", "CASE c.kind WHEN 'images' THEN 'images/' || doc_id || '.txt' ELSE c.kind END AS entry"))
+def archive_differences(spark, d):
+    """Archives rewritten without their comment, with another name, content, time or permission; manifests may differ."""
+    documents = views.spread(views.table(spark, d, "documents").select("doc_id", "lang", "text"))
+
+    def listing(again):
+        made = documents.select(F.col("doc_id").cast("string").alias("source_file"), _fixed_zip("doc_id", "lang", "text", F.lit(again)).alias("content"))
+        return archive_project.list_entries(made)
+
+    return archive_project.archive_differences(listing(False), listing(True), F.col("entry") == "project.json")
+
+
 @query("""
 SELECT doc_id || '/images/' || doc_id || '.txt' AS path, CASE WHEN lang = 'de' THEN 'size' ELSE 'content' END AS problem
 FROM documents WHERE lang = 'de' OR (lang = 'es' AND regexp_matches(text, '[a-z]'))

@@ -18,8 +18,11 @@ from labelsieve.session import materialize
 
 ENTRIES = (
     "source_file string, position int, entry string, is_dir boolean, size bigint, sha256 string, "
-    "attributes string, text string"
+    "date_time string, compress_type int, comment string, extra string, internal_attr bigint, external_attr bigint, "
+    "create_system int, archive_comment string, text string"
 )
+#: What an archive records about an entry besides its name and content.
+ATTRIBUTES = ("date_time", "compress_type", "comment", "extra", "internal_attr", "external_attr", "create_system")
 
 
 def _entry_rows(source: str, content: bytes, max_manifest: int | None) -> Iterator[dict]:
@@ -34,8 +37,9 @@ def _entry_rows(source: str, content: bytes, max_manifest: int | None) -> Iterat
             yield {
                 "source_file": source, "position": position, "entry": info.filename, "is_dir": info.is_dir(),
                 "size": info.file_size, "sha256": hashlib.sha256(data).hexdigest(),
-                "attributes": repr((info.date_time, info.compress_type, info.comment, info.extra,
-                                    info.internal_attr, info.external_attr, info.create_system)),
+                "date_time": "-".join(map(str, info.date_time)), "compress_type": info.compress_type, "comment": info.comment.hex(),
+                "extra": info.extra.hex(), "internal_attr": info.internal_attr, "external_attr": info.external_attr,
+                "create_system": info.create_system, "archive_comment": archive.comment.hex(),
                 "text": text,
             }
 
@@ -60,6 +64,39 @@ def list_entries(archives: DataFrame, max_manifest: int | None = None) -> DataFr
     return materialize(archives.select("source_file", "content").mapInPandas(read, ENTRIES))
 
 
+def archive_differences(before: DataFrame, after: DataFrame, manifest: Column | None = None) -> DataFrame:
+    """(source_file, entry, problem): what a rewritten archive did not preserve, from two listings of ``list_entries``.
+
+    Entries are compared by their place: one that is missing, additional or of another name or kind is ``layout``. Every
+    attribute of an entry is compared by itself (``attribute:<name>``), the archive's own comment once
+    (``archive_comment``, without an entry), and size and content of entries that are not the ``manifest``.
+    """
+    names = ["entry", "is_dir", "size", "sha256", *ATTRIBUTES]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        kept = df.filter("entry IS NOT NULL")
+        if manifest is not None:
+            kept = kept.withColumn("_manifest", F.coalesce(manifest, F.lit(False)))
+        else:
+            kept = kept.withColumn("_manifest", F.lit(False))
+        return kept.select("source_file", "position", F.struct(*names, "_manifest").alias(name))
+
+    pairs = side(before, "_b").join(side(after, "_a"), ["source_file", "position"], "full_outer")
+    b, a = F.col("_b"), F.col("_a")
+    same_place = b["entry"].eqNullSafe(a["entry"]) & b["is_dir"].eqNullSafe(a["is_dir"])
+    checks = [F.when(~b[name].eqNullSafe(a[name]), F.lit(f"attribute:{name}")) for name in ATTRIBUTES]
+    checks += [F.when(~b["_manifest"] & (b["size"] != a["size"]), F.lit("size")),
+               F.when(~b["_manifest"] & (b["size"] == a["size"]) & (b["sha256"] != a["sha256"]), F.lit("content"))]
+    problems = F.when(~same_place, F.array(F.lit("layout"))).otherwise(F.array_compact(F.array(*checks)))
+    entries = pairs.select("source_file", F.coalesce(b["entry"], a["entry"]).alias("entry"), F.explode(problems).alias("problem"))
+
+    def comment(df: DataFrame, name: str) -> DataFrame:
+        return df.filter("entry IS NOT NULL").groupBy("source_file").agg(F.first("archive_comment").alias(name))
+
+    other = comment(before, "_b").join(comment(after, "_a"), "source_file").filter(~F.col("_b").eqNullSafe(F.col("_a")))
+    return entries.unionByName(other.select("source_file", F.lit(None).cast("string").alias("entry"), F.lit("archive_comment").alias("problem")))
+
+
 def archive_violations(entries: DataFrame, max_json: int | None = None) -> DataFrame:
     """Unreadable archives, repeated names, directories with data, no manifest or several, more than ``max_json`` bytes of JSON."""
     name = F.col("entry")

@@ -345,3 +345,26 @@ def test_oversized_files_are_not_read(spark, tmp_path, image_folder):
     items, violations = load_checked(spark, str(image_folder), max_bytes=300)
     assert "ok/big.png" not in {r.relative_path for r in items.collect()}
     assert [(r.rule, r.item) for r in violations.collect()] == [("too_large", "ok/big.png")]
+
+
+def test_conflicting_or_unfit_projects_are_not_written(spark):
+    def text(*infos, labels=({"className": "a"},)):
+        return json.dumps({"project": {"projectType": "classification", "classInfos": list(infos), "projectFiles": [
+            {"filePath": "f", "className": "a", "labelDataList": list(labels)}]}})
+
+    a, b = {"className": "a", "classId": 1, "classColor": "#a"}, {"className": "b", "classId": 2}
+    texts = spark.createDataFrame([
+        ("good", text(a, b)), ("ids", text(a, {**a, "classId": "1"}, b)), ("colors", text(a, {**a, "classColor": "#b"}, b)),
+        ("shared", text(a, {**b, "classId": 1})), ("odd", text(a, {**b, "classId": 1.5})), ("same", text(a, {**a, "classId": 3})),
+        ("image", text(a, b, labels=[None])), ("gone", text(a, b))], "source_file string, text string")
+    parsed, _ = json_project.parse_projects(texts)
+    edits = [(n, 0, 0, "a", "a" if n == "same" else "b") for n in ("good", "ids", "colors", "shared", "odd", "same", "image")] + [("gone", 0, 5, "a", "b")]
+    items = spark.createDataFrame(edits, "source_file string, file_index int, label_no int, original_label string, label string")
+    written, refused = export.checked_json_writeback(texts, items, json_project.class_declarations(parsed))
+    assert {r.source_file: r.reason for r in refused.collect()} == {
+        "ids": "name_with_several_ids", "colors": "name_with_several_colors", "shared": "id_with_several_names",
+        "odd": "id_not_text_or_integer", "gone": "no_such_label"}
+    rows = {r.source_file: json.loads(r.text)["project"]["projectFiles"][0] for r in written.collect()}
+    assert rows.keys() == {"good", "same", "image"} and rows["same"]["className"] == "a"
+    assert rows["good"]["labelDataList"] == [{"className": "b", "classId": 2}]
+    assert (rows["image"]["className"], rows["image"]["classId"]) == ("b", 2)
