@@ -97,11 +97,11 @@ def count_grams(sample: DataFrame, text: str) -> DataFrame:
                 texts = np.bincount(once % max(kinds, 1) * 4 + groups, minlength=kinds * 4).reshape(kinds, 4)
                 word, grams = spell(block, words.starts[first], words.ends[first])
                 distinct, at = np.unique(grams, return_inverse=True)
-                counts = [np.bincount(at, weights=texts[word, k], minlength=len(distinct)).astype(np.int64) for k in range(4)]
+                counts = [np.bincount(at, weights=texts[word, k], minlength=len(distinct)).astype(np.int32) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *[pa.array(c) for c in counts]], names=names)
 
-    found = sample.select(text, F.col("_class").cast("int"), F.col("_fold").cast("int")).mapInArrow(run, "gram long, n0 long, n1 long, n2 long, n3 long")
-    return found.groupBy("gram").agg(*[F.sum(name).alias(name) for name in names[1:]])
+    found = sample.select(text, F.col("_class").cast("int"), F.col("_fold").cast("int")).mapInArrow(run, "gram long, n0 int, n1 int, n2 int, n3 int")
+    return found.groupBy("gram").agg(*[F.sum(name).cast("int").alias(name) for name in names[1:]])
 
 
 def discount(counts: np.ndarray) -> float:
@@ -110,6 +110,13 @@ def discount(counts: np.ndarray) -> float:
     return (ones + 0.5) / (ones + 2 * twos + 1)
 
 
+def runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of an ascending array, and which of them each place holds."""
+    new = np.ones(len(ascending), dtype=bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return ascending[new], (np.cumsum(new) - 1).astype(np.int32)
+
+
 def shared_probability(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Grams without their furthest letter, sorted, and the probability of their last letter by continuation counts."""
     levels = []
@@ -119,7 +126,7 @@ def shared_probability(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         grams = shorter
     below = None
     for size, shorter, extensions in reversed(levels):
-        _, context = np.unique(shorter >> np.uint64(8), return_inverse=True)
+        _, context = runs(shorter >> np.uint64(8))
         total, kinds, cut = np.bincount(context, weights=extensions), np.bincount(context), discount(extensions)
         base = np.full(len(shorter), 1 / 256) if below is None else below[1][np.searchsorted(below[0], low_bytes(shorter, size - 1))]
         below = shorter, (np.maximum(extensions - cut, 0) + cut * kinds[context] * base) / total[context]
@@ -135,7 +142,7 @@ def differences(grams: np.ndarray, counts: Sequence[np.ndarray]) -> Differences:
         return Differences(nothing, np.zeros(0, dtype=np.float32), nothing, np.zeros(0, dtype=np.float32))
     shorter, probability = shared_probability(grams)
     base = probability[np.searchsorted(shorter, low_bytes(grams, ORDER))]
-    contexts, context = np.unique(grams >> np.uint64(8), return_inverse=True)
+    contexts, context = runs(grams >> np.uint64(8))
     logs, left = [], []
     for own in counts:
         cut, total = discount(own), np.bincount(context, weights=own)
@@ -253,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per
     sample, found = labelled_sample(docs, labels, key, text, label, per_class)
     distinct = sample.groupBy(F.xxhash64(text), F.md5(text)).agg(*[F.min_by(c, key).alias(c) for c in (text, "_class", "_fold")])
     table = materialize(count_grams(distinct, text)).toArrow()
-    grams = table["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    grams, counts = grams[order], [table[f"n{k}"].to_numpy()[order] for k in range(4)]
+    order = np.argsort(table["gram"].to_numpy().view(np.uint64)).astype(np.int32)
+    grams, counts = table["gram"].to_numpy().view(np.uint64)[order], [table[f"n{k}"].to_numpy()[order] for k in range(4)]
+    del table, order  # the driver holds the table once
 
     def tables(folds: tuple[int, ...]) -> Differences:
         return differences(grams, [sum(counts[c * 2 + f] for f in folds) for c in (0, 1)])
