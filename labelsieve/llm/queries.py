@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from labelsieve.session import materialize
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def register(name: str, sql: str | None = None):
