@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import item_hash, matches_search
@@ -12,6 +12,10 @@ from labelsieve.schema import MAX_RESULT_PAGE, PLOT_LIMIT, QUEUE_LIMIT
 from labelsieve.session import materialize, small_table
 
 
+#: What the queue's order depends on.
+QUEUE_COLUMNS = ("id", "status", "suspicion_score")
+
+
 def numeric_id() -> Column:
     return F.expr("try_cast(id AS double)")
 
@@ -54,8 +58,9 @@ def pending_first(items: DataFrame) -> DataFrame:
 
 
 def queue_rank(items: DataFrame) -> DataFrame:
-    """Every item with its 1-based queue position."""
-    return ordered_rank(items, queue_keys())
+    """Every item with its 1-based queue position. Only the keys of the order are sorted and written; ids are unique."""
+    ranks = ordered_rank(items.select(*QUEUE_COLUMNS), queue_keys()).select("id", "rank")
+    return items.join(ranks, "id")
 
 
 def queue_counts(items: DataFrame, filtered: DataFrame) -> DataFrame:
@@ -96,6 +101,42 @@ def write_results(results: DataFrame, path: str) -> None:
     results.repartitionByRange(*page_keys()).sortWithinPartitions(*page_keys()).write.parquet(path)
 
 
+def write_ranked(results: DataFrame, path: str) -> None:
+    """Result store with a rank index: rows in paging order by range, ``shard`` and ``place``, and each shard's start.
+
+    A row's rank is its shard's start plus its place, so a page knows its shards from the index, which has a row a shard.
+    """
+    keys = page_keys()
+    placed = results.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed.withColumns({"shard": F.shiftright("_at", 33), "place": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at").write.partitionBy(
+        "shard").parquet(f"{path}/rows")
+    sizes = results.sparkSession.read.parquet(f"{path}/rows").groupBy("shard").agg(F.count("*").alias("size"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/index")
+
+
+def ranked_rows(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
+    """``count`` rows of a ranked store from position ``first`` (0-based) on, with their 1-based ``rank``.
+
+    At most ``count`` shards hold them; only their files are listed in the plan, and their places reach the scan.
+    """
+    shards = spark.read.parquet(f"{path}/index").filter((F.col("start") < first + count) & (F.col("start") + F.col("size") > first)).collect()
+    rows = spark.read.parquet(f"{path}/rows")
+    wanted, start = F.lit(False), F.lit(None).cast("long")
+    for s in shards:
+        wanted = wanted | ((F.col("shard") == s.shard) & (F.col("place") >= first - s.start) & (F.col("place") < first + count - s.start))
+        start = F.when(F.col("shard") == s.shard, s.start).otherwise(start)
+    inside = F.col("shard").isin([s.shard for s in shards]) if shards else F.lit(False)
+    return rows.filter(inside & wanted).withColumn("rank", start + F.col("place") + 1).drop("shard", "place")
+
+
+def ranked_page(spark: SparkSession, path: str, page: int, limit: int) -> DataFrame:
+    """A page of a ranked store in paging order; a deep page costs what the first one does."""
+    if page < 1 or not 1 <= limit <= MAX_RESULT_PAGE:
+        raise ValueError(f"page starts at 1 and limit is 1..{MAX_RESULT_PAGE}")
+    return ranked_rows(spark, path, (page - 1) * limit, limit).orderBy("rank")
+
+
 def item_lookup(items: DataFrame, item_id: str) -> DataFrame:
     return items.filter(F.col("id") == item_id)
 

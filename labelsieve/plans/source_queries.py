@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from labelsieve.operators import export, review
 from labelsieve.operators.queue import result_page as page_of
-from labelsieve.operators.queue import write_results
+from labelsieve.operators.queue import ranked_page as ranked_page_of
+from labelsieve.operators.queue import write_ranked, write_results
 from labelsieve.plans import oracle_views as sql
 from labelsieve.plans import views
 from labelsieve.plans.registry import query
@@ -483,6 +484,17 @@ def export_review(spark, d):
     return spark.read.schema(schema).json(path).filter("dataset = 'orders'").drop("dataset")
 
 
+@query("""
+SELECT id, suspicion_score, row_number() OVER (ORDER BY suspicion_score DESC, id) AS rank FROM qi WHERE suspicion_score IS NOT NULL
+QUALIFY rank BETWEEN (SELECT count(*) // 2 // 200 * 200 + 1 FROM qi) AND (SELECT count(*) // 2 // 200 * 200 + 200 FROM qi)
+""", (sql.QUEUE_ITEMS,))
+def ranked_page(spark, d):
+    """A page from the middle of a store with a rank index."""
+    items, path = views.queue_items(spark, d), _work(spark, "ranked")
+    write_ranked(items.filter("suspicion_score IS NOT NULL"), path)
+    return ranked_page_of(spark, path, items.count() // 2 // 200 + 1, 200).select("id", "suspicion_score", "rank")
+
+
 @query("""
 SELECT id, suspicion_score FROM qi WHERE suspicion_score IS NOT NULL ORDER BY suspicion_score DESC, id LIMIT 100 OFFSET 300
 """, (sql.QUEUE_ITEMS,))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from labelsieve.operators import review
+from labelsieve.operators import queue, review
 from labelsieve.operators.checks import ViolationError
 from labelsieve.operators.result_store import InputsChanged, ResultStore
 from labelsieve.operators.session_state import COMMAND, latest_headers, restore_sessions, save_sessions, saved_items
@@ -125,3 +125,20 @@ def test_stacks_survive_a_restart(spark):
         (redo if op == "undo" else undo).append(taken)
     whole = review.undo_redo_fold(commands.union(spark.createDataFrame(more, commands.schema)))
     assert {r.item_id: r.label for r in whole.collect()} == state
+
+
+def test_ranked_store_reads_the_shards_of_a_page_only(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), ((F.col("id") * 7) % 50).cast("double").alias("suspicion_score"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a thousand rows would make one shard
+    try:
+        queue.write_ranked(rows.repartition(6), str(tmp_path / "r"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [r.id for r in rows.orderBy(*queue.page_keys()).collect()]
+    for page in (1, 4, 10):
+        found = queue.ranked_page(spark, str(tmp_path / "r"), page, 100)
+        assert [(r.id, r["rank"]) for r in found.collect()] == list(zip(want[(page - 1) * 100:page * 100], range((page - 1) * 100 + 1, page * 100 + 1)))
+    assert queue.ranked_page(spark, str(tmp_path / "r"), 11, 100).collect() == []
+    shards = spark.read.parquet(str(tmp_path / "r" / "index")).count()
+    read = {r.f for r in queue.ranked_page(spark, str(tmp_path / "r"), 4, 10).select(F.input_file_name().alias("f")).collect()}
+    assert shards > 1 and len(read) < shards
