@@ -78,7 +78,8 @@ def test_loaders_report_and_refuse_broken_projects(spark, tmp_path):
     assert load_items(spark, str(tmp_path), "json", strict=True).count() == 1
     (tmp_path / "bad.json").write_text("{")
     (tmp_path / "other.json").write_text(json.dumps(other))
-    items, violations = load_checked(spark, str(tmp_path), "json", max_bytes=200)
+    (tmp_path / "large.json").write_text(json.dumps(good) + " " * 500)  # reported and, unlike the others, not loaded
+    items, violations = load_checked(spark, str(tmp_path), "json", max_bytes=500)
     assert {"rejected_project", "undeclared_class", "too_large"} <= {r.rule for r in violations.collect()} and items.count() == 2
     with pytest.raises(ViolationError):
         load_items(spark, str(tmp_path), "json", strict=True)
